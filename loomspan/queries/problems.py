@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import ids
-from loomspan.operators import hierarchy, orphans
+from loomspan.operators import drift, eav, hierarchy, nested, orphans, profile
 from loomspan.operators.copydiff import Copy, diff_copies
-from loomspan.session import prepare, read_table
+from loomspan.session import prepare, read_table, stage
 
 RUN_TEXT = ["status", "model_name", "description", "stage", "phase", "config_hash", "git_hash", "input_hash", "signature"]
 RUN_NUMBERS = ["year", "iteration"]
@@ -149,4 +149,124 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(_tree_paths(spark, folder)).select(_tree("node"), _id("node").alias("node_id"), "n_descendants", "max_steps")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_counts, p3_found, p3_paths, p3_descendants)}
+def _kv(spark: SparkSession, folder: str, entity: str) -> DataFrame:
+    prepare(spark)
+    if entity == "run":
+        return eav.current_values(read_table(spark, folder, "run_config_kv"), ids.run_id("run_id"), F.col("key"))
+    return eav.current_values(read_table(spark, folder, "artifact_kv"), ids.artifact_id("artifact_id"), F.col("key_path"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of the wide tables of runs and artifacts that aren't null."""
+    parts = [eav.melt(*eav.stitch(_kv(spark, folder, entity))).withColumn("entity", F.lit(entity)) for entity in ("run", "artifact")]
+    return orphans.union_all(parts).select("entity", "entity_id", "namespace", "attr", F.col("value").alias("value_text"))
+
+
+def p4_run_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per run and namespace, one typed column per configuration key."""
+    return eav.stitch(_kv(spark, folder, "run"))[0]
+
+
+def p4_artifact_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per artifact and namespace, one typed column per facet key."""
+    return eav.stitch(_kv(spark, folder, "artifact"))[0]
+
+
+LOAD = ["scenario_id", "loaded_at"]
+
+
+def _person(spark: SparkSession, folder: str) -> tuple[DataFrame, list[profile.Check]]:
+    prepare(spark)
+    return read_table(spark, folder, "person"), profile.declared(read_table(spark, folder, "field_profile").collect())
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Breaches of the declared profile in each load of persons, and changes against the scenario's load before."""
+    person, checks = _person(spark, folder)
+    found = profile.findings(profile.profile_states(person, LOAD, checks), *LOAD, checks)
+    twice = profile.duplicate_loads(person, LOAD, checks)
+    if twice is not None:
+        found = found.unionByName(twice.withColumn("finding", F.lit("duplicate")))
+    return found.select("scenario_id", F.date_format("loaded_at", "yyyy-MM-dd").alias("load_date"), "column_name", "finding").distinct()
+
+
+def p5_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Null share, distinct values and mean of each column and load; the states of the months are merged."""
+    person, checks = _person(spark, folder)
+    parts = profile.profile_states(person.withColumn("part", F.pmod(F.xxhash64("person_id"), F.lit(4))), [*LOAD, "part"], checks)
+    return profile.metrics(profile.merge_states(parts.drop("part"), LOAD), LOAD, checks)
+
+
+def p5_anomalies(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of a load outside the control limits of the scenario's earlier loads."""
+    person, checks = _person(spark, folder)
+    return profile.control_limits(profile.metrics(profile.profile_states(person, LOAD, checks), LOAD, checks), *LOAD)
+
+
+# The lists of run.meta whose objects become rows.
+META_LISTS = ["feeds", "services", "exceptions", "input_artifact_changes", "field_changes", "steps"]
+
+
+def _meta_objects(spark: SparkSession, folder: str) -> DataFrame:
+    prepare(spark)
+    run = read_table(spark, folder, "run").select(ids.run_id("id").alias("doc_id"), "meta", "updated_at", "loaded_at").where("doc_id IS NOT NULL")
+    current = run.groupBy("doc_id").agg(F.max_by(F.struct("meta"), F.struct("updated_at", "loaded_at")).alias("m")).select("doc_id", F.col("m.meta").alias("doc"))
+    return nested.listed_objects(current, META_LISTS)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each object of the listed lists in the current meta of a run, and the listed object around it."""
+    return _meta_objects(spark, folder).select(F.col("doc_id").alias("run_id"), "path", "parent_path")
+
+
+def p6_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The structural variants of the listed objects and how often each occurs."""
+    return nested.variants(_meta_objects(spark, folder))
+
+
+def _meta_table(name: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        objects = stage(_meta_objects(spark, folder), "objects")
+        states = [r.variant for r in nested.variants(objects.where(F.col("list_name") == name)).limit(100_000).collect()]
+        return nested.subtype_table(objects, name, states, META_LISTS)
+
+    query.__name__, query.__doc__ = f"p6_{name}", f"The typed table of the objects in lists named {name}."
+    return query
+
+
+def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    prepare(spark)
+    observed = read_table(spark, folder, "artifact_schema_observation").select(ids.artifact_id("artifact_id").alias("artifact_id"), ids.strip("schema_id").alias("schema_id"), "observed_at").where("artifact_id IS NOT NULL")
+    first = observed.groupBy("artifact_id").agg(F.min("observed_at").alias("first_at"), F.min_by("schema_id", F.struct("observed_at", "schema_id")).alias("schema_id"))
+    artifact = read_table(spark, folder, "artifact").select(ids.artifact_id("id").alias("artifact_id"), F.col("key").alias("artifact_key"), "loaded_at").where("artifact_id IS NOT NULL")
+    keys = artifact.groupBy("artifact_id").agg(F.max_by("artifact_key", F.struct("loaded_at", "artifact_key")).alias("artifact_key"))
+    schemas = drift.header_schemas(read_table(spark, folder, "artifact_schema_field").withColumn("schema_id", ids.strip("schema_id")))
+    return first.join(keys, "artifact_id"), schemas
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each change of schema between neighbouring files of one artifact key."""
+    files, schemas = _files(spark, folder)
+    return drift.drift_log(files, schemas, "artifact_key", "artifact_id", "first_at")
+
+
+def p7_union_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """The union schema of each artifact key."""
+    return drift.union_schemas(*_files(spark, folder), "artifact_key")
+
+
+def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
+    """All records of all files of each artifact key, under its union schema."""
+    files, schemas = _files(spark, folder)
+    records = read_table(spark, folder, "dataset_record").select(ids.artifact_id("artifact_id").alias("artifact_id"), "row_no", "record").join(files.select("artifact_id", "artifact_key"), "artifact_id")
+    return drift.unified_values(records, drift.union_schemas(files, schemas, "artifact_key"), "artifact_key", "artifact_id")
+
+
+META_TABLES = {f.__name__: f for f in map(_meta_table, META_LISTS)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(p1_found, p1_summary, p2_found, p2_counts, p3_found, p3_paths, p3_descendants, p4_found, p4_run_wide, p4_artifact_wide),
+        *(p5_found, p5_metrics, p5_anomalies, p6_found, p6_variants, p7_found, p7_union_schema, p7_unified),
+    )
+} | META_TABLES
