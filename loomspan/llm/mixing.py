@@ -54,8 +54,8 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, source: str, tokens:
     """(key, source, tokens, repeats): the chosen documents and how often each is used.
 
     Documents without tokens or whose source has no target are not chosen. The sample is the same for the same seed,
-    in whatever order or partitions the rows come; ties of ranks are broken by key. A source's tokens stay within its
-    budget and miss it by less than one document.
+    in whatever order or partitions the rows come; ties of ranks are broken by key. A source's tokens miss
+    its budget by at most half a document.
     """
     sized = stage(documents.select(key, source_name(source).alias("source"), F.col(tokens).alias("tokens")).where("tokens > 0"), "sized")
     sizes = sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
@@ -72,7 +72,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str, source: str, tokens:
     sure = placed.where(~F.coalesce(F.col("bin") == F.col("cut"), F.lit(False))).withColumn("repeats", F.col("whole") + below.cast("long"))
     order = Window.partitionBy("source").orderBy("rank", key)
     edge = placed.where(F.col("bin") == F.col("cut")).withColumn("sum", F.sum("tokens").over(order))
-    edge = edge.withColumn("repeats", F.col("whole") + (F.col("filled") + F.col("sum") <= F.col("left")).cast("long"))
+    edge = edge.withColumn("repeats", F.col("whole") + (F.col("filled") + F.col("sum") - F.col("tokens") / 2 <= F.col("left")).cast("long"))
     columns = [key, "source", "tokens", "repeats"]
     return sure.select(*columns).unionByName(edge.select(*columns)).where("repeats > 0")
 
