@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import ids
 from loomspan.operators import drift, eav, hierarchy, nested, orphans, profile
 from loomspan.operators.copydiff import Copy, diff_copies
+from loomspan.queries.problem_sql import SQL as SQL
 from loomspan.session import prepare, read_table, stage
 
 RUN_TEXT = ["status", "model_name", "description", "stage", "phase", "config_hash", "git_hash", "input_hash", "signature"]
