@@ -84,14 +84,14 @@ def drift_log(files: DataFrame, schemas: DataFrame, dataset: str, file: str, at:
     new = schemas.select("schema_id", F.col("fields").alias("_new"))
     old = schemas.select(F.col("schema_id").alias("previous"), F.col("fields").alias("_old"))
     both = ordered.join(new, "schema_id", "left").join(old, "previous", "left").select(dataset, file, F.coalesce("_old", empty).alias("_old"), F.coalesce("_new", empty).alias("_new"))
-    return both.select(dataset, file, F.explode(schema_changes(F.col("_old"), F.col("_new"))).alias("c")).select(dataset, file, "c.*")
+    return both.select(dataset, file, F.explode(schema_changes(F.col("_old"), F.col("_new"))).alias("_c")).select(dataset, file, "_c.*")
 
 
 def union_schemas(files: DataFrame, schemas: DataFrame, dataset: str) -> DataFrame:
     """(dataset, field_name, kind, n_schemas): the union schema of each dataset, each field in its promoted type."""
     used = files.where(F.col(dataset).isNotNull()).select(dataset, "schema_id").distinct().join(schemas, "schema_id")
-    fields = used.select(dataset, F.explode("fields").alias("f"))
-    return fields.groupBy(dataset, F.col("f.name").alias("field_name")).agg(promoted(F.collect_set("f.kind")).alias("kind"), F.count(F.lit(1)).alias("n_schemas"))
+    fields = used.select(dataset, F.explode("fields").alias("_f"))
+    return fields.groupBy(dataset, F.col("_f.name").alias("field_name")).agg(promoted(F.collect_set("_f.kind")).alias("kind"), F.count(F.lit(1)).alias("n_schemas"))
 
 
 def unified_values(records: DataFrame, union: DataFrame, dataset: str, file: str) -> DataFrame:
@@ -101,10 +101,11 @@ def unified_values(records: DataFrame, union: DataFrame, dataset: str, file: str
     are null; a record that is no JSON object has all its fields null. A value its promoted type can't hold is null.
     """
     once = records.select(dataset, file, "row_no", "record").distinct()
-    parsed = once.select(dataset, file, "row_no", F.from_json("record", "map<string,string>").alias("m"))
-    low = F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value"))))
+    parsed = once.select(dataset, file, "row_no", F.from_json("record", "map<string,string>").alias("_m"))
+    low = F.map_from_entries(F.transform(F.map_entries("_m"), lambda e: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value"))))
     schema = union.groupBy(dataset).agg(F.array_sort(F.collect_list(F.struct("field_name", "kind"))).alias("_fields"))
-    rows = parsed.select(dataset, file, "row_no", low.alias("m")).join(schema, dataset).select(dataset, file, "row_no", "m", F.explode("_fields").alias("f")).select(dataset, file, "row_no", "f.*", F.try_element_at("m", "f.field_name").alias("raw"))
+    rows = parsed.select(dataset, file, "row_no", low.alias("_m")).join(schema, dataset).select(dataset, file, "row_no", "_m", F.explode("_fields").alias("_f"))
+    rows = rows.select(dataset, file, "row_no", "_f.*", F.try_element_at("_m", "_f.field_name").alias("raw"))
     value = F.col("raw")
     for kind, ddl in (("integer", "bigint"), ("float", "double"), ("boolean", "boolean"), ("date", "date"), ("timestamp", "timestamp_ntz")):
         value = F.when(F.col("kind") == kind, F.col("raw").try_cast(ddl).cast("string")).otherwise(value)

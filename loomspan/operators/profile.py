@@ -114,7 +114,7 @@ def findings(states: DataFrame, scenario: str, at: str, checks: list[Check], nul
         if c.pattern is not None:
             cases["pattern"] = col("pattern") > 0
         tells += [F.when(when, F.struct(F.lit(c.name).alias("column_name"), F.lit(what).alias("finding"))) for what, when in cases.items()]
-    return paired.select(scenario, at, F.explode(F.array_compact(F.array(*tells))).alias("t")).select(scenario, at, "t.*")
+    return paired.select(scenario, at, F.explode(F.array_compact(F.array(*tells).cast("array<struct<column_name string, finding string>>"))).alias("_t")).select(scenario, at, "_t.*")
 
 
 def metrics(states: DataFrame, by: list[str], checks: list[Check]) -> DataFrame:
@@ -125,7 +125,7 @@ def metrics(states: DataFrame, by: list[str], checks: list[Check]) -> DataFrame:
         if c.ranged:
             out.append((c.name, "mean", F.try_divide(F.col(f"{c.name}__sum"), F.col(f"{c.name}__inside"))))
     rows = F.array(*(F.struct(F.lit(n).alias("column_name"), F.lit(m).alias("metric"), v.alias("value")) for n, m, v in out))
-    return states.select(*by, F.explode(rows).alias("m")).select(*by, "m.*")
+    return states.select(*by, F.explode(rows.cast("array<struct<column_name string, metric string, value double>>")).alias("_m")).select(*by, "_m.*")
 
 
 def control_limits(metric_rows: DataFrame, scenario: str, at: str, sigmas: float = 3.0, least: int = 3) -> DataFrame:

@@ -116,6 +116,7 @@ class AlignedPair:
     def apply(self, left: DataFrame, right: DataFrame, run_column: str, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
         """``fn`` on the rows of the two runs of each pair; its rows get the column ``align_key``. A pair's rows must fit one task."""
         key = F.to_json(F.struct(*self.on), {"ignoreNullFields": "false"})
+        right = right.select(*(F.col(f"`{c}`").alias(c) for c in right.columns))  # may be the same table as left
         tagged = [df.join(self.pairs.select(F.col(f"{side}_id").alias(run_column), key.alias("align_key")), run_column) for side, df in (("left", left), ("right", right))]
 
         def both(group: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

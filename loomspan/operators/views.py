@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -120,6 +121,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
+
+
 def present(spark: SparkSession, sources: Sequence[Source], missing: str = "warn") -> list[Source]:
     """The tabular sources whose files are there; ``missing`` is warn, error or skip_silent."""
     if missing not in ("warn", "error", "skip_silent"):
@@ -167,11 +173,14 @@ def cold_rows(spark: SparkSession, sources: Sequence[Source], facets: Mapping[st
     parts = []
     if len(many) > MAX_LITERAL_FILES:
         sources = [s for s in sources if s.driver != "parquet"]
-        rows = [[s.path.rstrip("/").replace("file://", ""), *(({**s.system(), **s.facets}).get(c) for c in extra)] for s in many]
-        known = spark.createDataFrame(rows, ", ".join(["_path string", *(f"`{c}` {t}" for c, t in extra.items())]))
-        scan = spark.read.option("mergeSchema", True).parquet(*(s.path for s in many)).withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", ""))
-        joined = scan.join(F.broadcast(known), (F.col("_file") == F.col("_path")) | F.col("_file").startswith(F.concat("_path", F.lit("/"))) if any(not s.path.endswith(".parquet") for s in many) else F.col("_file") == F.col("_path"))
-        parts.append(joined.drop("_file", "_path"))
+        # A file's path is the source's, or its folder's where the source is a folder of files.
+        file, ddl = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", ""), ", ".join(["_path string", *(f"`{c}` {t}" for c, t in extra.items())])
+        for folders in (False, True):
+            group = [s for s in many if is_folder(spark, s.path) == folders]
+            if group:
+                known = spark.createDataFrame([[re.sub("^file:(//)?", "", s.path.rstrip("/")), *(({**s.system(), **s.facets}).get(c) for c in extra)] for s in group], ddl)
+                scan = spark.read.option("mergeSchema", True).parquet(*(s.path for s in group))
+                parts.append(scan.withColumn("_path", F.regexp_replace(file, "/[^/]*$", "") if folders else file).join(F.broadcast(known), "_path").drop("_path"))
     for s in sources:
         values = ({**s.system()} if system else {}) | {f: s.facets.get(f) for f in kinds}
         df = read_source(spark, s)
