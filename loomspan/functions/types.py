@@ -55,8 +55,8 @@ def promoted(kinds: Column) -> Column:
 def plain_number(number: Column, decimals: int = 4) -> Column:
     """A decimal in plain notation without trailing zeros, point or plus sign; zero has no sign."""
     text = F.round(number, decimals).cast("string")
-    short = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-    return F.when(short.isin("-0", ""), "0").otherwise(short)
+    short = F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if decimals > 0 else text
+    return F.when(F.round(number, decimals) == 0, "0").otherwise(short)
 
 
 def widest(names: list[str]) -> str:

@@ -28,24 +28,29 @@ BLOCK = 4096
 TRUE, FALSE = ["true", "yes", "1"], ["false", "no", "0"]
 
 
-def typed_value(kind: Column, decimals: int = 10) -> Column:
-    """The value as text, read as ``kind`` says from whichever of the value columns is filled; null if it can't be read.
+def with_typed_value(rows: DataFrame, decimals: int = 10) -> DataFrame:
+    """``rows`` (kind and the value columns) with ``value``: the value as text, read as ``kind`` says from whichever of the
+    value columns is filled; null if it can't be read.
 
     An integer must be whole, NaN and infinities are null, a boolean is true/false, yes/no or 1/0; JSON texts are
-    unquoted, JSON lists and objects are null. Values of kind json or null, or of unknown kinds, are null.
+    unquoted, JSON lists and objects are null. Values of kind json or null, or of unknown kinds, are null. Each step is
+    a projection of its own, so that nothing is parsed twice.
     """
-    doc = F.try_parse_json("value_json")
-    scalar = F.when(~F.schema_of_variant(doc).rlike("^(ARRAY|OBJECT)"), F.try_variant_get(doc, "$", "string"))
-    raw = strip(F.coalesce(F.col("value_str"), F.col("value_num").cast("string"), F.col("value_bool").cast("string"), scalar))
-    number = raw.try_cast(NUMBER)
+    doc = rows.withColumn("_doc", F.try_parse_json("value_json"))
+    scalar = F.when(~F.schema_of_variant("_doc").rlike("^(ARRAY|OBJECT)"), F.try_variant_get("_doc", "$", "string"))
+    json_text = F.when(F.col("value_json").isNotNull(), scalar)
+    raw = doc.withColumn("_raw", strip(F.coalesce(F.col("value_str"), F.col("value_num").cast("string"), F.col("value_bool").cast("string"), json_text)))
+    read = raw.withColumn("_number", F.when(F.col("kind").isin("integer", "float") | F.col("value_num").isNotNull(), F.col("_raw").try_cast(NUMBER)))
+    kind, number, text = F.col("kind"), F.col("_number"), F.col("_raw")
     was_number = F.col("value_str").isNull() & F.col("value_num").isNotNull()
-    low = F.lower(F.when(was_number, plain_number(number)).otherwise(raw))
-    return (
-        F.when(kind == "boolean", F.when(low.isin(TRUE), "true").when(low.isin(FALSE), "false"))
-        .when(kind == "integer", F.when(number == F.floor(number), plain_number(number, 0)))
+    low = F.lower(F.when(was_number, plain_number(number)).otherwise(text))
+    value = (
+        F.when(kind == "integer", F.when(number == F.floor(number), plain_number(number, 0)))
         .when(kind == "float", plain_number(number, decimals))
-        .when(kind == "string", F.when(was_number, F.coalesce(plain_number(number), raw)).otherwise(raw))
+        .when(kind == "string", F.when(was_number, F.coalesce(plain_number(number), text)).otherwise(text))
+        .when(kind == "boolean", F.element_at(F.create_map(*(F.lit(x) for t in TRUE for x in (t, "true")), *(F.lit(x) for t in FALSE for x in (t, "false"))), low))
     )
+    return read.withColumn("value", value).drop("_doc", "_raw", "_number")
 
 
 def current_values(rows: DataFrame, entity: Column, attr: Column, created_at: str = "created_at") -> DataFrame:
@@ -62,7 +67,7 @@ def current_values(rows: DataFrame, entity: Column, attr: Column, created_at: st
         *(c for c in ("value_str", "value_num", "value_bool", "value_json")),
         F.col(created_at).alias("created_at"),
     ).where("entity_id IS NOT NULL AND attr <> ''")
-    read = named.select("entity_id", "namespace", "attr", "kind", typed_value(F.col("kind")).alias("value"), "created_at")
+    read = with_typed_value(named).select("entity_id", "namespace", "attr", "kind", "value", "created_at")
     latest = F.max_by(F.struct("kind", "value"), F.struct("created_at", "kind", "value"))
     return read.groupBy("entity_id", "namespace", "attr").agg(latest.alias("v")).select("entity_id", "namespace", "attr", "v.*")
 
