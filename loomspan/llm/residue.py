@@ -10,13 +10,13 @@ found joins the frontier until the connected components of the trusted classes a
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +30,13 @@ SIMILARITY = 0.8
 TABLES, BITS = 44, 16
 MAX_HAMMING = 22
 
-_NUMBER = regex.compile(r"\b(?=[a-f]*\d)[0-9a-f]{5,}\b|\d+")
+_NUMBER = re.compile(r"(?:(?<=\W)|^)(?=[a-f]*\d)[0-9a-f]{5,}(?=\W|$)|\d+")
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.int64())])
 
 
 def template(words: str) -> str:
     """Plain words with all numbers and hexadecimal ids alike."""
-    return _NUMBER.sub("0", words)
+    return " ".join([t if t.isalpha() else _NUMBER.sub("0", t) for t in words.split(" ")])
 
 
 def _shingles(text: str) -> set[str]:
@@ -49,20 +49,55 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y)
 
 
+class _Words(dict):
+    """The hash of each word, computed once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_WORDS = _Words()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Every bit of the hashes spread over all bits."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of the distinct shingles of each text, and their number; equal texts give equal hashes."""
-    hashes = [np.fromiter((xxhash.xxh3_64_intdigest(s) for s in _shingles(t)), np.uint64) for t in texts]
-    counts = np.array([len(h) for h in hashes], np.int64)
-    if not len(texts):
-        return np.zeros(0, np.int64), counts
-    out = np.empty(len(texts), np.uint64)
+    """The SimHash of the distinct shingles of each text, and their number; equal texts give equal hashes.
+
+    A text of fewer than SHINGLE words counts as if filled up with blanks: it has one shingle.
+    """
+    out, counts = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for a in range(0, len(texts), 256):
-        part, n = np.concatenate(hashes[a : a + 256]), counts[a : a + 256]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        out[a : a + 256] = ((2 * ones > n[:, None]).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+    get = _WORDS.__getitem__
+    for a in range(0, len(texts), 500):
+        lists = [t.split(" ") for t in texts[a : a + 500]]
+        lists = [w if len(w) >= SHINGLE else w + [""] * (SHINGLE - len(w)) for w in lists]
+        sizes = np.array([len(w) for w in lists])
+        words = np.fromiter((get(x) for w in lists for x in w), np.uint64, int(sizes.sum()))
+        rolled = np.zeros(len(words) - SHINGLE + 1, np.uint64)
+        for j in range(SHINGLE):
+            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - SHINGLE + 1 + j]
+        owner = np.repeat(np.arange(len(lists)), sizes)[: len(rolled)]
+        whole = np.repeat(np.cumsum(sizes), sizes)[: len(rolled)] - np.arange(len(rolled)) >= SHINGLE
+        hashed, owner = _mixed(rolled[whole]), owner[whole]
+        order = np.lexsort((hashed, owner))
+        hashed, owner = hashed[order], owner[order]
+        first = np.ones(len(hashed), bool)
+        first[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
+        hashed, owner = hashed[first], owner[first]
+        n = np.bincount(owner, minlength=len(lists))
+        bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0, dtype=np.int32)
+        out[a : a + 500] = ((2 * ones > n[:, None]).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+        counts[a : a + 500] = n
     return out.view(np.int64), counts
 
 

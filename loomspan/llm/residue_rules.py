@@ -7,6 +7,7 @@ it leaves words that no unit covers.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from http import HTTPStatus
 
@@ -14,9 +15,9 @@ import regex
 
 _LINE_ENDS = regex.compile(r"\r\n?|[\x0b\x0c\x1c-\x1e\x85  ]")
 _MARKS = regex.compile(r"[\p{Cf}\p{Cc}--[\n\t]]", flags=regex.V1)
+_ASCII_MARKS = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 _CODE = regex.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)|(`+)(?!`)(?:(?!\n\s*\n).)+?(?<!`)\1(?!`)", regex.S)
 _TAG = regex.compile(r"</?[a-z!][^<>]*>", regex.I)
-_BLANK = regex.compile(r"\s+")
 
 _NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
 # The forms of a placeholder that a template engine or an author should have filled.
@@ -40,6 +41,8 @@ PLACEHOLDERS = [
     r"\[(?:insérer|insertar|inserir|inserisci)\s[^\]\n]{1,40}\]",
 ]
 _PLACEHOLDER = regex.compile("|".join(PLACEHOLDERS), regex.I)
+#: Every placeholder has one of these signs.
+_SIGN = re.compile(r"[{%<\[@#$]|__")
 
 _REASON = "|".join(sorted((regex.escape(s.phrase.lower()) for s in HTTPStatus if s >= 400), key=len, reverse=True))
 _LONG_REASON = "|".join(sorted((regex.escape(s.phrase.lower()) for s in HTTPStatus if s >= 400 and " " in s.phrase), key=len, reverse=True))
@@ -145,37 +148,42 @@ CLASSIC = set("lorem ipsum dolor amet elitra magnur quilla consimo tempora velat
 
 def visible(text: str) -> str:
     """The text with one kind of line end and without control and format characters."""
+    if text.isascii() and not _ASCII_MARKS.search(text):
+        return text
     return _MARKS.sub("", _LINE_ENDS.sub("\n", text))
 
 
 def without_code(text: str) -> str:
-    return _CODE.sub(" ", text)
+    return _CODE.sub(" ", text) if "`" in text or "~~~" in text else text
 
 
 def has_placeholder(prose: str) -> bool:
     """Whether a text without code holds a placeholder that was never filled."""
-    return _PLACEHOLDER.search(prose) is not None
+    return _SIGN.search(prose) is not None and _PLACEHOLDER.search(prose) is not None
 
 
 def plain(prose: str) -> str:
     """A text without code as plain words: no tags, compatibility forms replaced, lower case, single blanks."""
-    return _BLANK.sub(" ", _TAG.sub(" ", unicodedata.normalize("NFKC", prose)).lower().replace("’", "'")).strip(" *")
+    text = prose if prose.isascii() else unicodedata.normalize("NFKC", prose).replace("’", "'")
+    return " ".join((_TAG.sub(" ", text) if "<" in text else text).lower().split()).strip(" *")
 
 
 def _over_and_over(words: str) -> bool:
     """The same sign, or the same one or two words, over and over."""
-    signs = words.replace(" ", "")
-    if len(signs) >= 6 and len(set(signs)) == 1:
+    if words.count(words[0]) + words.count(" ") == len(words) and len(words) - words.count(" ") >= 6:
         return True
-    tokens = words.split(" ")
     for n in (1, 2):
-        if len(tokens) >= 3 * n and all(t.isalnum() for t in tokens[:n]) and len(set(tokens[:n])) == n:
-            if all(t == tokens[i % n] for i, t in enumerate(tokens)):
+        unit = words.split(" ", n)[:n]
+        if len(unit) == n and all(t.isalnum() for t in unit) and len(set(unit)) == n:
+            tokens = words.split(" ") if f"{words} ".startswith(f"{' '.join(unit)} " * 3) else []
+            if tokens and all(t == unit[i % n] for i, t in enumerate(tokens)):
                 return True
     return False
 
 
 def _mock_latin(words: str) -> bool:
+    if sum(c in words for c in CLASSIC) < 2:
+        return False
     tokens = [t.strip(".,;:!?") for t in words.split(" ")]
     hits = sum(t in MOCK for t in tokens)
     return len(tokens) >= 3 and hits >= 0.85 * len(tokens) and len(CLASSIC.intersection(tokens)) >= 2
