@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 #: Tables and bits per table: at similarity 0.8 a bit agrees with probability 0.85, all 16 with 0.07, in one of 44 tables with 0.96.
 TABLES, BITS = 44, 16
 MAX_HAMMING = 22
+#: The frontier's table rows are broadcast up to so many (about 16 MB), beyond it both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 _NUMBER = re.compile(r"(?:(?<=\W)|^)(?=[a-f]*\d)[0-9a-f]{5,}(?=\W|$)|\d+")
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.int64())])
@@ -148,9 +150,11 @@ def _in_tables(classes: DataFrame, prefix: str) -> DataFrame:
 def _near(frontier: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
     """The classes of ``others`` that are near-duplicates of one of ``frontier``."""
     a, b = _in_tables(frontier, "a"), _in_tables(others, "b")
+    if frontier.count() * TABLES <= BROADCAST_ROWS:
+        a = F.broadcast(a)
     like = (F.col("b_n") >= F.col("a_n") * SIMILARITY) & (F.col("a_n") >= F.col("b_n") * SIMILARITY)
     close = F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= MAX_HAMMING
-    pairs = stage(a.join(b, ["table", "bucket"]).where(like & close).select("a_rep", "b_rep").distinct(), "candidates")
+    pairs = stage(b.join(a, ["table", "bucket"]).where(like & close).select("a_rep", "b_rep").distinct(), "candidates")
     wanted = pairs.select(F.col("a_rep").alias("doc_id")).unionByName(pairs.select(F.col("b_rep").alias("doc_id"))).distinct()
     read = texts.join(wanted, "doc_id", "left_semi")
 

@@ -41,7 +41,9 @@ def test_labels_spread_through_components(spark):
     assert {d for d, k in found if k == "near_duplicate"} <= {2, 3}
 
 
-def test_near_duplicates_are_found_through_the_tables(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_near_duplicates_are_found_through_the_tables(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(residue, "BROADCAST_ROWS", broadcast)
     notice = "please enable javascript in your browser settings " + " ".join(f"{chr(97 + i)}ord" for i in range(26))
     monkeypatch.setattr(residue.rules, "whole_residue", lambda w: "notice" if w == notice else None)
     features = residue.features(spark.createDataFrame([(1, notice)], "doc_id long, text string"), "doc_id", "text")
