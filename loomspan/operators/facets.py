@@ -128,3 +128,27 @@ def facet_type(kinds: Iterable[str]) -> str:
     if seen == {"int"}:
         return "bigint"
     return "double" if seen and seen <= {"int", "float"} else "string"
+
+
+def values_of(kv: DataFrame, entities: DataFrame | None = None, *, entity: str = "run_id", key: str = "key", namespace: str | None = None, prefix: str | None = None, keys: Iterable[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Key-value rows of some entities (a column of their ids; None: of all), by namespace, key prefix or list of keys, in key order."""
+    out = kv if entities is None else kv.join(entities.select(entity).distinct(), entity, "left_semi")
+    out = out if namespace is None else out.where(F.col("namespace") == namespace)
+    out = out if prefix is None else out.where(F.col(key).startswith(prefix))
+    out = out if keys is None else out.where(F.col(key).isin(list(keys)))
+    out = out.orderBy(entity, key, "namespace")
+    return out if limit is None else out.limit(limit)
+
+
+def value_per_run(kv: DataFrame, key: str, namespace: str | None = None) -> DataFrame:
+    """(run_id, value): one facet of each run as text, its newest value."""
+    rows = kv.where(F.col("key") == key) if namespace is None else kv.where((F.col("key") == key) & (F.col("namespace") == namespace))
+    return rows.groupBy("run_id").agg(F.max_by(typed_text(), F.struct("created_at", "facet_id")).alias("value"))
+
+
+def runs_with_value(runs: DataFrame, kv: DataFrame, condition: Column, limit: int | None = None) -> DataFrame:
+    """Completed runs with a key-value row that meets ``condition``, newest first."""
+    from loomspan.operators.recency import by_creation
+
+    out = runs.where("status = 'completed'").join(kv.where(condition).select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").orderBy(*by_creation())
+    return out if limit is None else out.limit(limit)
