@@ -84,7 +84,10 @@ ERRORS = [
     r"le serveur n'a pas pu traiter la demande|(?:la )?page (?:introuvable|non trouvée)|cette page n'existe (?:pas|plus)",
     r"no se encontró la página solicitada|página no encontrada|(?:la página|esta página) no existe",
     r"a página (?:solicitada )?não foi encontrada|página não encontrada",
-    r"お探しのページは見つかりませんでした|ページが見つかりません(?:でした)?",
+    r"お探しのページは見つかりませんでした|ページが見つかりません(?:でした)?|サーバーエラー(?:が発生しました)?|アクセスが拒否されました",
+    r"interner serverfehler|erreur interne du serveur|error interno del servidor|erro interno do servidor|zugriff verweigert|accès (?:refusé|interdit)|acceso denegado|acesso negado",
+    r"ihre sitzung ist abgelaufen|votre session a expiré|su sesión ha (?:caducado|expirado)|(?:a )?sua sessão expirou",
+    r"(?:el servidor no pudo|o servidor não (?:pôde|conseguiu)|der server konnte|le serveur n'a pas pu)[^.!?]*",
 ]
 # Units that tell a notice that scripts or a browser check are needed.
 NOTICES = [
@@ -102,7 +105,8 @@ NOTICES = [
     r"(?:bitte )?aktivieren sie javascript[^.!?]*|für diese seite muss javascript (?:eingeschaltet|aktiviert) sein|javascript ist (?:deaktiviert|ausgeschaltet)[^.!?]*|diese seite (?:benötigt|braucht) javascript[^.!?]*",
     r"(?:veuillez )?activer javascript[^.!?]*|cette page exige l'exécution de scripts|cette page nécessite javascript[^.!?]*|javascript est désactivé[^.!?]*",
     r"(?:por favor,? )?activ[ae] javascript[^.!?]*|esta página (?:necesita|requiere) javascript[^.!?]*|habilit[ae] (?:o )?javascript[^.!?]*",
-    r"このページを表示するには ?javascript ?を有効にしてください|javascript ?を有効にしてください",
+    r"(?=[^.!?]*javascript)(?=[^.!?]*\b(?:aktivier|ein(?:schalt|geschalt)|erlaub|activ|autoris|habilit|permit|ativ|lig(?:ar|ue)\b|attiv|abilit|inschakel|schakel|włącz|включ))(?![^.!?]*\b(?:ich|wir|je|nous|yo|eu|io|ik|i|my|which|users)\b)(?![^.!?]*\?)[^.!?]+",
+    r"(?:[^.!?。]*を表示するには、? ?)?javascript ?を(?:有効|オン)にして(?:ください|下さい)",
 ]
 # Units that tell filler where content should be.
 FILLER = [
@@ -119,8 +123,8 @@ FILLER = [
     r"write something useful in this box(?: \(min\.? ?\d+ characters\))?",
     r"\[(?:todo|tbd|fixme)\b[^\]]{0,60}\]|\[(?:answer|question|text|content|body|title|description|placeholder|your [\w ]{1,30})\]",
     r"hier steht bald (?:ihr|dein) text|text folgt(?: in kürze)?|inhalt folgt(?: in kürze)?|platzhalter(?:text)?",
-    r"(?:texte|contenu) à venir|(?:contenido|texto) pendiente|(?:conteúdo|texto) em breve|próximamente",
-    r"(?:準備中です|工事中)",
+    r"(?:texte|contenu) (?:à venir|suivra)|(?:contenido|texto) (?:pendiente|por venir)|(?:conteúdo|texto) (?:em breve|a seguir|pendente)|próximamente",
+    r"準備中(?:です)?|工事中(?:です)?|ここに(?:本文|テキスト|文章)が入ります",
 ]
 # Units that come with residue but do not tell it.
 AROUND = [
