@@ -105,6 +105,33 @@ P7 = f"""WITH {CURRENT_ARTIFACTS}, o AS (SELECT {uuid_sql('artifact_id')} AS art
   UNION ALL SELECT artifact_key, artifact_id, 'removed', name, '' FROM gone WHERE NOT EXISTS (SELECT 1 FROM ren r WHERE r.artifact_id = gone.artifact_id AND r.old = gone.name)
   UNION ALL SELECT p.artifact_key, p.artifact_id, 'retyped', f.name, '' FROM p JOIN f ON f.schema_id = p.schema_id JOIN f g ON g.schema_id = p.was AND g.name = f.name WHERE g.kind <> f.kind"""
 
+
+P3_PATHS = f"""WITH RECURSIVE {_TREES}, longest AS (SELECT tree, node_id, arg_max(path, len(path)) AS path FROM up GROUP BY 1, 2),
+  n AS (SELECT ids.tree, ids.id AS node_id, coalesce(longest.path, []) AS path FROM (SELECT 'run' AS tree, id FROM cur UNION ALL SELECT 'artifact', id FROM art) ids LEFT JOIN longest ON longest.tree = ids.tree AND longest.node_id = ids.id),
+  c AS (SELECT n.*, EXISTS (SELECT 1 FROM e WHERE e.tree = n.tree AND e.id = coalesce(n.path[-1], n.node_id)) AS cyclic FROM (SELECT tree, node_id, path FROM n) n)
+  SELECT tree, node_id, array_to_string(list_append(list_reverse(path), node_id), '/') AS path, len(path)::INT AS depth, CASE WHEN NOT cyclic THEN coalesce(path[-1], node_id) END AS root_id, cyclic FROM c"""
+P7_UNION = f"""WITH {CURRENT_ARTIFACTS}, o AS (SELECT {uuid_sql('artifact_id')} AS artifact_id, arg_min(schema_id, observed_at) AS schema_id FROM artifact_schema_observation GROUP BY 1),
+  f AS (SELECT DISTINCT schema_id, lower({trim_sql('name')}) AS name, {_SPELLED} AS kind FROM (SELECT *, lower({trim_sql('logical_type')}) AS t FROM artifact_schema_field)),
+  u AS (SELECT DISTINCT art.key AS artifact_key, o.schema_id FROM o JOIN art ON art.id = o.artifact_id WHERE art.key IS NOT NULL),
+  g AS (SELECT artifact_key, name AS field_name, list(DISTINCT kind) AS kinds, count(*) AS n_schemas FROM u JOIN f USING (schema_id) GROUP BY 1, 2)
+  SELECT artifact_key, field_name, CASE WHEN len(kinds) = 1 THEN kinds[1] WHEN len(list_filter(kinds, lambda k: k NOT IN ('integer', 'float'))) = 0 THEN 'float' WHEN len(list_filter(kinds, lambda k: k NOT IN ('date', 'timestamp'))) = 0 THEN 'timestamp' ELSE 'string' END AS kind, n_schemas FROM g"""
+
+
+def _open(v: str, times: int = 3) -> str:
+    """The JSON in a text that holds an object or a further text, up to three encodings deep."""
+    for _ in range(times):
+        v = f"coalesce(CASE WHEN json_type({v}) = 'VARCHAR' AND json_type(try_cast({v}->>'$' AS JSON)) IN ('OBJECT', 'VARCHAR') THEN try_cast({v}->>'$' AS JSON) END, {v})"
+    return v
+
+
+_LISTS = "('feeds', 'services', 'exceptions', 'input_artifact_changes', 'field_changes', 'steps')"
+P6 = f"""WITH RECURSIVE {CURRENT_RUNS}, walk AS (SELECT id AS run_id, '' AS path, '' AS around, {_open('v')} AS v, false AS of_list, false AS listed FROM (SELECT id, try_cast(meta AS JSON) AS v FROM cur) WHERE v IS NOT NULL
+    UNION ALL SELECT run_id, CASE WHEN json_type(v) = 'ARRAY' THEN path || '[' || m.k || ']' ELSE path || CASE WHEN path = '' THEN '' ELSE '.' END || m.k || CASE WHEN m.k IN {_LISTS} AND json_type(c) = 'OBJECT' THEN '[0]' ELSE '' END END,
+      CASE WHEN listed THEN path ELSE around END, c, json_type(v) = 'OBJECT' AND m.k IN {_LISTS} AND json_type(c) = 'ARRAY', json_type(c) = 'OBJECT' AND (json_type(v) = 'ARRAY' AND of_list OR json_type(v) = 'OBJECT' AND m.k IN {_LISTS})
+    FROM (SELECT *, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {{'k': k, 'raw': json_extract(v, '$."' || k || '"')}}) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: {{'k': i::VARCHAR, 'raw': json_extract(v, '$[' || i || ']')}}) END) AS m FROM walk),
+      LATERAL (SELECT {_open('m.raw')} AS c) WHERE json_type(c) IN ('OBJECT', 'ARRAY'))
+  SELECT run_id, path, around AS parent_path FROM walk WHERE listed"""
+
 P1_SUMMARY = f"SELECT difference, count(*) AS n_runs FROM ({P1}) GROUP BY 1"
 
-SQL = {"p1_found": P1, "p1_summary": P1_SUMMARY, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_descendants": P3_DESCENDANTS, "p4_found": P4, "p5_found": P5, "p7_found": P7}
+SQL = {"p1_found": P1, "p1_summary": P1_SUMMARY, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_descendants": P3_DESCENDANTS, "p3_paths": P3_PATHS, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p7_union_schema": P7_UNION}
