@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions.ids import strip
-from loomspan.functions.types import named_type, promoted
+from loomspan.functions.types import SPARK_TYPES, named_type, promoted
 
 CHANGES = "array<struct<change string, field_name string, old_name string>>"
 
@@ -94,6 +94,23 @@ def union_schemas(files: DataFrame, schemas: DataFrame, dataset: str) -> DataFra
     return fields.groupBy(dataset, F.col("_f.name").alias("field_name")).agg(promoted(F.collect_set("_f.kind")).alias("kind"), F.count(F.lit(1)).alias("n_schemas"))
 
 
+def _members(record: str) -> Column:
+    """The members of a JSON object under trimmed lower-case names."""
+    return F.map_from_entries(F.transform(F.map_entries(F.from_json(record, "map<string,string>")), lambda e: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value"))))
+
+
+def unified_table(records: DataFrame, union: DataFrame, dataset: str, name: str, file: str) -> DataFrame:
+    """The table of one dataset: (file, row_no) and a column ``f_<field>`` per field of its union schema, in its promoted type.
+
+    The union schema of the one dataset is read first; it has as many rows as the table gets columns. Otherwise as
+    :func:`unified_values`.
+    """
+    fields = union.where(F.col(dataset) == name).orderBy("field_name").collect()
+    once = records.where(F.col(dataset) == name).select(file, "row_no", "record").distinct().select(file, "row_no", _members("record").alias("_m"))
+    columns = [F.try_element_at("_m", F.lit(f.field_name)).try_cast(SPARK_TYPES.get(f.kind, "string")).alias(f"f_{f.field_name}") for f in fields]
+    return once.select(file, "row_no", *columns)
+
+
 def unified_values(records: DataFrame, union: DataFrame, dataset: str, file: str) -> DataFrame:
     """(dataset, file, row_no, field_name, kind, value): every record of every file under the union schema, as text in its promoted type.
 
@@ -101,10 +118,8 @@ def unified_values(records: DataFrame, union: DataFrame, dataset: str, file: str
     are null; a record that is no JSON object has all its fields null. A value its promoted type can't hold is null.
     """
     once = records.select(dataset, file, "row_no", "record").distinct()
-    parsed = once.select(dataset, file, "row_no", F.from_json("record", "map<string,string>").alias("_m"))
-    low = F.map_from_entries(F.transform(F.map_entries("_m"), lambda e: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value"))))
     schema = union.groupBy(dataset).agg(F.array_sort(F.collect_list(F.struct("field_name", "kind"))).alias("_fields"))
-    rows = parsed.select(dataset, file, "row_no", low.alias("_m")).join(schema, dataset).select(dataset, file, "row_no", "_m", F.explode("_fields").alias("_f"))
+    rows = once.select(dataset, file, "row_no", _members("record").alias("_m")).join(schema, dataset).select(dataset, file, "row_no", "_m", F.explode("_fields").alias("_f"))
     rows = rows.select(dataset, file, "row_no", "_f.*", F.try_element_at("_m", "_f.field_name").alias("raw"))
     value = F.col("raw")
     for kind, ddl in (("integer", "bigint"), ("float", "double"), ("boolean", "boolean"), ("date", "date"), ("timestamp", "timestamp_ntz")):

@@ -263,11 +263,20 @@ def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
     return drift.unified_values(records, drift.union_schemas(files, schemas, "artifact_key"), "artifact_key", "artifact_id")
 
 
+def p7_widest(spark: SparkSession, folder: str) -> DataFrame:
+    """The unified table of the artifact key with the most fields, the first of them by name."""
+    files, schemas = _files(spark, folder)
+    union = stage(drift.union_schemas(files, schemas, "artifact_key"), "union")
+    one = union.groupBy("artifact_key").count().orderBy(F.col("count").desc(), "artifact_key").head()
+    records = read_table(spark, folder, "dataset_record").select(ids.artifact_id("artifact_id").alias("artifact_id"), "row_no", "record").join(files.select("artifact_id", "artifact_key"), "artifact_id")
+    return drift.unified_table(records, union, "artifact_key", one.artifact_key if one else "", "artifact_id")
+
+
 META_TABLES = {f.__name__: f for f in map(_meta_table, META_LISTS)}
 QUERIES = {
     f.__name__: f
     for f in (
         *(p1_found, p1_summary, p2_found, p2_counts, p3_found, p3_paths, p3_descendants, p4_found, p4_run_wide, p4_artifact_wide),
-        *(p5_found, p5_metrics, p5_anomalies, p6_found, p6_variants, p7_found, p7_union_schema, p7_unified),
+        *(p5_found, p5_metrics, p5_anomalies, p6_found, p6_variants, p7_found, p7_union_schema, p7_unified, p7_widest),
     )
 } | META_TABLES

@@ -184,6 +184,9 @@ def test_schema_changes(spark):
     rows = drift.unified_values(records, drift.union_schemas(files.where("k = 'k'"), fields(spark, schemas), "k"), "k", "f")
     values = {(r.f, r.row_no, r.field_name): r.value for r in rows.collect()}
     assert len(values) == 3 * len(union)
+    wide = drift.unified_table(records, drift.union_schemas(files, fields(spark, schemas), "k"), "k", "k", "f")
+    assert dict(wide.dtypes)["f_a"] == "bigint" and dict(wide.dtypes)["f_d"] == "date"
+    assert {(r.f, r.row_no, r.f_a, r.f_same) for r in wide.collect()} == {("f1", 1, 1, "5"), ("f2", 1, None, "t"), ("f2", 2, None, None)}
     assert values["f1", 1, "same"] == "5" and values["f2", 1, "a"] is None and values["f2", 1, "d"] == "2024-01-02" and values["f2", 2, "same"] is None
 
 
