@@ -41,6 +41,8 @@ PLACEHOLDERS = [
     r"\[(?:insérer|insertar|inserir|inserisci)\s[^\]\n]{1,40}\]",
 ]
 _PLACEHOLDER = regex.compile("|".join(PLACEHOLDERS), regex.I)
+# Quotation marks.
+_OPENING, _CLOSING = tuple("\"'“‘„«‚‹「"), tuple("\"'”’“»‘›」")
 #: Every placeholder has one of these signs.
 _SIGN = re.compile(r"[{%<\[@#$]|__")
 
@@ -162,8 +164,10 @@ def without_code(text: str) -> str:
 
 
 def has_placeholder(prose: str) -> bool:
-    """Whether a text without code holds a placeholder that was never filled."""
-    return _SIGN.search(prose) is not None and _PLACEHOLDER.search(prose) is not None
+    """Whether a text without code holds a placeholder that was never filled; one directly between quotation marks is quoted."""
+    if not _SIGN.search(prose):
+        return False
+    return any(prose[m.start() - 1 : m.start()] not in _OPENING or prose[m.end() : m.end() + 1] not in _CLOSING for m in _PLACEHOLDER.finditer(prose))
 
 
 def plain(prose: str) -> str:

@@ -7,7 +7,7 @@ PLACEHOLDERS = ["Hi {{ first_name }},\n\nreal text here", "Posted by {% block us
 FILLER = ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "TBD", "tbd - content to follow", "xxx xxx xxx", "foo bar foo bar foo bar", "----------", "Heading 1: sample text to be replaced\nItem 2: sample copy to be replaced", "Text folgt in Kürze.", "[answer]", "Your answer goes here…"]
 ERRORS = ["404 Not Found", "HTTP/1.1 502 Bad Gateway\ncontent-length: 0", '{"status": 504, "error": "Gateway Timeout"}', "<html><head><title>Error</title></head><body>500 Internal Server Error", "Home | Questions | Tags | Log in\n\nPage\nnot\nfound", "Access denied. Incident 7db03abf23 was logged.", "PAGE\xa0NOT\xa0FOUND", 'Traceback (most recent call last):\n  File "/srv/app/x.py", line 3, in show\nKeyError: \'a\'', "お探しのページは見つかりませんでした。"]
 NOTICES = ["Please enable JavaScript to view this page.", "Loading…\nWithout scripts the answers can't be shown.", "Checking your browser before you can enter. This takes a few seconds.", "Bitte aktivieren Sie JavaScript, um die Antworten zu sehen.", "JS is disabled. You must activate it and try again.", "É preciso ligar o JavaScript para ler as respostas."]
-REAL = ["Use `${RUN_ID}` in the overlay, not `%RUN_ID%`.", "```jinja\n{{ name }}\n```\nThis prints the name.", "```\n{{ never closed }}", "Page not found is what the browser shows since the folder moved.", 'The server answers "502 Bad Gateway" whenever the list is empty.', "Which users still run with JavaScript disabled? Our viewer needs it.", "When I enable JavaScript in the viewer the table appears.", "The placeholder rows in the table are on purpose.", "The report prints lorem ipsum where the summary should be.", "No.", "+1", "Thanks, that was it!", "Merci, ça marche. Merci, ça marche. Merci, ça marche.", "[tool] surprisingly small table\n\nWhy is it small?", "It costs $5 and $10, about 20 % and {1, 2}.", "Gone.", "", " \n\t", None]
+REAL = ["Use `${RUN_ID}` in the overlay, not `%RUN_ID%`.", "```jinja\n{{ name }}\n```\nThis prints the name.", "```\n{{ never closed }}", "Page not found is what the browser shows since the folder moved.", 'The server answers "502 Bad Gateway" whenever the list is empty.', "Which users still run with JavaScript disabled? Our viewer needs it.", "When I enable JavaScript in the viewer the table appears.", "The placeholder rows in the table are on purpose.", "The report prints lorem ipsum where the summary should be.", "No.", "+1", "Thanks, that was it!", "Merci, ça marche. Merci, ça marche. Merci, ça marche.", "[tool] surprisingly small table\n\nWhy is it small?", "It costs $5 and $10, about 20 % and {1, 2}.", "Gone.", 'The pop-up shows "{{ stop.name }}" instead of the name.', "", " \n\t", None]
 
 
 @pytest.mark.parametrize(("kind", "texts"), [("placeholder", PLACEHOLDERS), ("filler", FILLER), ("error", ERRORS), ("notice", NOTICES), (None, REAL)])
