@@ -121,11 +121,11 @@ def connected_runs(spark, folder):
     return connected(known, one.run_id if one else "")
 
 
-@query("""SELECT event_type AS run_id, list(event_id ORDER BY ts, event_id)::VARCHAR AS members FROM events WHERE user_id < 50 GROUP BY 1""")
+@query("""SELECT user_id AS run_id, list(event_id ORDER BY ts, event_id)::VARCHAR AS members FROM events GROUP BY 1""")
 def ordered_members(spark, folder):
     """Members of each group in order of time."""
-    events = read_table(spark, folder, "events").where("user_id < 50")
-    out = arrays.ordered_lists(events.select(F.col("event_type").alias("run_id"), F.struct("ts", "event_id").alias("at"), "event_id"), ["run_id"], "at", "event_id", "members")
+    events = read_table(spark, folder, "events")
+    out = arrays.ordered_lists(events.select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("at"), "event_id"), ["run_id"], "at", "event_id", "members")
     return out.withColumn("members", F.concat(F.lit("["), F.array_join(F.transform("members", lambda m: m.cast("string")), ", "), F.lit("]")))
 
 

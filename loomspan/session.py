@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

@@ -190,6 +190,12 @@ def test_schema_changes(spark):
     assert values["f1", 1, "same"] == "5" and values["f2", 1, "a"] is None and values["f2", 1, "d"] == "2024-01-02" and values["f2", 2, "same"] is None
 
 
+def test_record_with_names_that_clash(spark):
+    union = spark.createDataFrame([("k", "a", "integer")], "k string, field_name string, kind string")
+    records = spark.createDataFrame([("k", "f", 1, '{"a": 1, " A": 2, "A ": 3}'), ("k", "f", 2, None), ("k", "f", 3, "[]")], "k string, f string, row_no int, record string")
+    assert {(r.row_no, r.value) for r in drift.unified_values(records, union, "k", "f").collect()} == {(1, "3"), (2, None), (3, None)}
+
+
 def test_order_across_blocks(spark):
     rows = [("k", f"f{m}{d}", datetime(2024, m, d), f"s{m}{d}") for m in (1, 4) for d in (1, 2, 3)]
     df = spark.createDataFrame(rows, "k string, f string, at timestamp_ntz, s string")
