@@ -662,7 +662,7 @@ def blend_with_previous(spark, folder):
 def hourly_events(spark, folder):
     """Events per hour: the batch form of the streaming windows."""
     events = read_table(spark, folder, "events")
-    return events.groupBy(F.date_trunc("hour", "ts").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 QUERIES, SQL = query.queries, query.sql
