@@ -2,9 +2,10 @@
 
 Every document is read once: its rule label, the exact class of its plain text (digits alike), and the 64-bit SimHash
 of its five-word shingles. Classes labelled wholly residue are trusted. Their near-duplicates are sought in SimHash
-tables (each keyed by some bits of the hash, so that a pair of similarity 0.8 meets in one of them with probability
-over 0.95), filtered by Hamming distance and length, and verified by the Jaccard similarity of their shingles. What is
-found joins the frontier until the connected components of the trusted classes are complete.
+tables (each keyed by some bits of the hash), which lose pairs, since all tables draw on the same 64 bits, and by
+shared shingles of their prefixes, which lose none: in one order of all shingles, two texts of similarity 0.8 share one
+of the first n - ceil(0.8 n) + 1 of each. Pairs are verified by the Jaccard similarity of their shingles. What is found
+joins the frontier until the connected components of the trusted classes are complete.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm import residue_rules as rules
@@ -26,14 +27,14 @@ from loomspan.session import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Tables and bits per table: at similarity 0.8 a bit agrees with probability 0.85, all 16 with 0.07, in one of 44 tables with 0.96.
+#: Tables and bits per table. A pair at Hamming distance 10 meets in one of them with 0.86, at 14 with 0.36: the prefixes find the rest.
 TABLES, BITS = 44, 16
 MAX_HAMMING = 22
 #: The frontier's table rows are broadcast up to so many (about 16 MB), beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 _NUMBER = re.compile(r"(?:(?<=\W)|^)(?=[a-f]*\d)[0-9a-f]{5,}(?=\W|$)|\d+")
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.int64())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
 def template(words: str) -> str:
@@ -71,12 +72,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def prefix_sizes(n: np.ndarray) -> np.ndarray:
+    """How many of the first of n shingles two texts must look at, so that those of similarity SIMILARITY share one."""
+    return n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
+
+
 def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of the distinct shingles of each text, and their number; equal texts give equal hashes.
+    """The SimHash of the distinct shingles of each text, and their number; equal texts give equal hashes."""
+    return signatures(texts)[:2]
+
+
+def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The SimHash of the distinct shingles of each text, their number, and the hashes of the prefix of the shingles in order of their hashes.
 
     A text of fewer than SHINGLE words counts as if filled up with blanks: it has one shingle.
     """
-    out, counts = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+    out, counts, prefixes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), []
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     get = _WORDS.__getitem__
     for a in range(0, len(texts), 500):
@@ -100,7 +111,9 @@ def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ones = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0, dtype=np.int32)
         out[a : a + 500] = ((2 * ones > n[:, None]).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
         counts[a : a + 500] = n
-    return out.view(np.int64), counts
+        at = np.concatenate(([0], np.cumsum(n)[:-1]))
+        prefixes += [hashed[i : i + k].view(np.int64) for i, k in zip(at, prefix_sizes(n))]
+    return out.view(np.int64), counts, prefixes
 
 
 def read_rules(text: str | None) -> tuple[str | None, str]:
@@ -113,13 +126,13 @@ def read_rules(text: str | None) -> tuple[str | None, str]:
 
 
 def features(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, label, class, n, simhash) of every document; without words label, class and simhash are null and n is 0."""
+    """(doc_id, label, class, n, simhash, prefix) of every document; without words all but doc_id are null and n is 0."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             read = [read_rules(t) for t in batch.column(1).to_pylist()]
             texts = [template(w) for _, w in read]
-            hashed, n = simhashes([t for t in texts if t])
+            hashed, n, prefixes = signatures([t for t in texts if t])
             at = np.cumsum([bool(t) for t in texts]) - 1
             yield pa.RecordBatch.from_arrays(
                 [
@@ -128,11 +141,12 @@ def features(documents: DataFrame, key: str, text: str) -> DataFrame:
                     pa.array([xxhash.xxh3_128_digest(t) if t else None for t in texts], pa.binary()),
                     pa.array([int(n[i]) if t else 0 for t, i in zip(texts, at)], pa.int32()),
                     pa.array([int(hashed[i]) if t else None for t, i in zip(texts, at)], pa.int64()),
+                    pa.array([prefixes[i] if t else None for t, i in zip(texts, at)], pa.list_(pa.int64())),
                 ],
                 schema=_FEATURES,
             )
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(rows, "doc_id long, label string, class binary, n int, simhash long")
+    return documents.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(rows, "doc_id long, label string, class binary, n int, simhash long, prefix array<long>")
 
 
 def _masks(tables: int, bits: int) -> list[int]:
@@ -147,14 +161,36 @@ def _in_tables(classes: DataFrame, prefix: str) -> DataFrame:
     return classes.select(F.posexplode(keys).alias("table", "bucket"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"), F.col("simhash").alias(f"{prefix}_hash"))
 
 
-def _near(frontier: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
-    """The classes of ``others`` that are near-duplicates of one of ``frontier``."""
-    a, b = _in_tables(frontier, "a"), _in_tables(others, "b")
-    if frontier.count() * TABLES <= BROADCAST_ROWS:
+def _in_prefixes(classes: DataFrame, prefix: str) -> DataFrame:
+    return classes.select(F.posexplode("prefix").alias(f"{prefix}_at", "shingle"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"))
+
+
+def _met(a: DataFrame, b: DataFrame, by: list[str], close: Column) -> DataFrame:
+    """(a_rep, b_rep): the pairs of like length that meet and are close. Few rows of ``a`` are broadcast."""
+    if a.count() <= BROADCAST_ROWS:
         a = F.broadcast(a)
     like = (F.col("b_n") >= F.col("a_n") * SIMILARITY) & (F.col("a_n") >= F.col("b_n") * SIMILARITY)
+    return b.join(a, by).where(like & close).select("a_rep", "b_rep")
+
+
+def _by_tables(frontier: DataFrame, others: DataFrame) -> DataFrame:
     close = F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= MAX_HAMMING
-    pairs = stage(b.join(a, ["table", "bucket"]).where(like & close).select("a_rep", "b_rep").distinct(), "candidates")
+    return _met(_in_tables(frontier, "a"), _in_tables(others, "b"), ["table", "bucket"], close)
+
+
+def _by_prefixes(frontier: DataFrame, others: DataFrame) -> DataFrame:
+    """All pairs of at least SIMILARITY, and some others: after the first shingle that both share, enough must be left of either."""
+    left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    close = left + 1e-6 >= (F.col("a_n") + F.col("b_n")) * (SIMILARITY / (1 + SIMILARITY))
+    return _met(_in_prefixes(frontier, "a"), _in_prefixes(others, "b"), ["shingle"], close)
+
+
+def _near(frontier: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
+    """The classes of ``others`` that are near-duplicates of one of ``frontier``: all of them if both have prefixes, else those that the tables find."""
+    pairs = _by_tables(frontier, others)
+    if "prefix" in frontier.columns and "prefix" in others.columns:
+        pairs = pairs.unionByName(_by_prefixes(frontier, others))
+    pairs = stage(pairs.distinct(), "candidates")
     wanted = pairs.select(F.col("a_rep").alias("doc_id")).unionByName(pairs.select(F.col("b_rep").alias("doc_id"))).distinct()
     read = texts.join(wanted, "doc_id", "left_semi")
 
@@ -176,7 +212,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text")
     """
     read = stage(features(documents, key, text), "features")
     classes = read.where("class IS NOT NULL").groupBy("class").agg(
-        F.max(F.when(F.col("label") != "placeholder", 1).otherwise(0)).alias("trusted"), F.max(F.when(F.col("label") == "placeholder", 1).otherwise(0)).alias("filled_in"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("simhash").alias("simhash")
+        F.max(F.when(F.col("label") != "placeholder", 1).otherwise(0)).alias("trusted"), F.max(F.when(F.col("label") == "placeholder", 1).otherwise(0)).alias("filled_in"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("prefix").alias("prefix")
     )
     known = stage(classes.withColumn("trusted", F.col("trusted") == 1), "classes")
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

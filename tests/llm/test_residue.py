@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import queries, residue
 from loomspan.llm.residue import SIMILARITY, jaccard, read_rules, simhashes, template
@@ -72,3 +75,19 @@ def test_queries(spark, small, empty_folder, dirty_folder):
 def test_very_long_text(spark):
     rows = [(1, "x" * 3_000_000), (2, "a real sentence about tables. " * 100_000), (3, "{" * 100_000), (4, "`" * 50_001)]
     assert {r.doc_id for r in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
+
+
+def test_all_pairs_at_the_required_similarity_are_found(spark):
+    """Texts and their copies with a changed end, down to the very similarity; the tables alone lose some of them."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    rows = []
+    for k in range(150):
+        base = [word() for _ in range(rng.choice([13, 49, 94, 184]))]
+        copies = [" ".join(base[:cut] + [word() for _ in base[cut:]]) for cut in range(len(base), 0, -1)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, [c for c in copies if jaccard(" ".join(base), c) >= SIMILARITY][-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    read = residue.features(df, "doc_id", "text").withColumn("rep", F.col("doc_id"))
+    bases, copies = read.where("doc_id % 2 = 0"), read.where("doc_id % 2 = 1")
+    assert len({r.rep for r in residue._near(bases.drop("prefix"), copies, df).collect()}) < 150
+    assert {r.rep for r in residue._near(bases, copies, df).collect()} == {2 * k + 1 for k in range(150)}
