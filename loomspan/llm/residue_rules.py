@@ -147,9 +147,32 @@ _AROUND = _units(AROUND)
 _ONE_WORD_REASON = _units([f"(?:{_REASON})\\b"])
 _GAP = regex.compile(r"[\s.!…。、:;,|*_=#>\-–—\"'()]*")
 
-# Words of mock Latin, and frequent words of real posts that mock Latin lacks.
-MOCK = set("lorem ipsum dolor sit amet elit elitra tempor tempora magna magnur aliqua minim minute veniam vestra quis quilla nostrud nostrad ullamco ullis labore dolore consectetur consimo adipiscing adirem sed sedano eiusmod incididunt velit velat esse cillum captis corpis ferrum landem noctua plenis pleni arvo verbis in non et ut".split())
-CLASSIC = set("lorem ipsum dolor amet elitra magnur quilla consimo tempora velat ullis sedano adirem landem plenis captis corpis".split())
+# The standard passage, further words of mock Latin and of its generators, and words that tell it from real Latin.
+PASSAGE = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim
+ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit
+in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia
+deserunt mollit anim id est laborum"""
+GENERATED = """ac accumsan aenean aliquam aliquet ante arcu at auctor augue bibendum blandit condimentum congue consectetuer convallis cras curabitur
+cursus dapibus diam dictum dictumst dignissim donec egestas eget eleifend elementum erat eros etiam euismod facilisi facilisis fames faucibus
+felis fermentum feugiat finibus fringilla fusce gravida habitant habitasse hac hendrerit iaculis imperdiet integer interdum justo lacinia
+lacus laoreet lectus leo libero ligula lobortis luctus maecenas malesuada massa mattis mauris maximus metus mi molestie mollis morbi nam nec
+neque netus nibh nisl nulla nullam nunc odio orci ornare pellentesque pharetra phasellus placerat platea porta porttitor posuere potenti
+praesent pretium primis proin pulvinar purus quam quisque rhoncus risus rutrum sagittis sapien scelerisque sem semper senectus sodales
+sollicitudin suscipit suspendisse tellus tempus tincidunt tortor tristique turpis ultrices ultricies urna ut varius vehicula vel venenatis
+vestibulum vitae vivamus viverra volutpat vulputate"""
+MOCK = set(f"{PASSAGE} {GENERATED} lorem ipsum dolor sit amet elit elitra tempor tempora magna magnur aliqua minim minute veniam vestra quis quilla nostrud nostrad ullamco ullis labore dolore consectetur consimo adipiscing adirem sed sedano eiusmod incididunt velit velat esse cillum captis corpis ferrum landem noctua plenis pleni arvo verbis in non et ut".split())
+CLASSIC = set("lorem ipsum dolor amet elitra magnur quilla consimo tempora velat ullis sedano adirem landem plenis captis corpis consectetur adipiscing eiusmod incididunt nostrud ullamco aliquip irure reprehenderit cillum fugiat pariatur excepteur occaecat cupidatat proident deserunt mollit laborum consectetuer vestibulum pellentesque curabitur suspendisse".split())
+# Frequent words of real posts that mock Latin lacks, and endings of Latin.
+FREQUENT = set(
+    """the and is are was were be been to of for with that this these those it its on as by from or not but have has had you your we our they he she
+i my what when where which who why how can could should would will if so there here then than more some any all no yes an after before between
+into about only does did just also please thanks der die das und ist sind nicht ein eine einen mit von zu den dem auf für wie wenn ich wir sie es
+auch nur aber oder bei nach aus im am le la les un une des du de que qui est pas pour dans sur avec mais ou où je nous vous il elle ce cette
+el los las una y por para con del al se lo como pero más cuando este esta o os um uma da dos das não por mais como mas ao na no il di che per gli
+della sono""".split()
+) - MOCK
+_WORD = re.compile(r"\w+")
+_LATIN_END = re.compile(r"[a-z]*(?:us|um|is|it|at|et|nt|ur|ae|am|em|que|tis|ntes|i)")
 
 
 def visible(text: str) -> str:
@@ -190,11 +213,16 @@ def _over_and_over(words: str) -> bool:
 
 
 def _mock_latin(words: str) -> bool:
+    """Words of mock Latin without the frequent words of real languages. Of a longer text less than half may be words that only look Latin."""
     if sum(c in words for c in CLASSIC) < 2:
         return False
-    tokens = [t.strip(".,;:!?") for t in words.split(" ")]
-    hits = sum(t in MOCK for t in tokens)
-    return len(tokens) >= 3 and hits >= 0.85 * len(tokens) and len(CLASSIC.intersection(tokens)) >= 2
+    tokens = [t for t in _WORD.findall(words) if not t.isdigit()]
+    n, real = len(tokens), sum(t in FREQUENT or not t.isascii() for t in tokens)
+    if n < 3 or real > 0.01 * n or len(CLASSIC.intersection(tokens)) < 2:
+        return False
+    known = sum(t in MOCK for t in tokens)
+    latin = known + sum(t not in MOCK and _LATIN_END.fullmatch(t) is not None for t in tokens)
+    return known >= 0.85 * n or n >= 12 and known > 0.5 * n and latin >= 0.85 * n
 
 
 def whole_residue(words: str) -> str | None:

@@ -91,3 +91,13 @@ def test_all_pairs_at_the_required_similarity_are_found(spark):
     bases, copies = read.where("doc_id % 2 = 0"), read.where("doc_id % 2 = 1")
     assert len({r.rep for r in residue._near(bases.drop("prefix"), copies, df).collect()}) < 150
     assert {r.rep for r in residue._near(bases, copies, df).collect()} == {2 * k + 1 for k in range(150)}
+
+
+LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
+MOCK_TEXTS = [LOREM, ".".join(LOREM.split(".")[:2]) + ".", LOREM.split(". ")[1] + ".", LOREM.split(". ")[2] + ".", f"<p>{LOREM}</p>\n\n<p>{LOREM}</p>", "1. Lorem ipsum dolor sit amet\n2. Consectetur adipiscing elit", "Lorem ipsum dolor sit amet, vestibulum placidus quorum fermentum, pellentesque sonantum egestas luminis curabitur."]
+ABOUT_MOCK = [f'The report prints "{LOREM}" where the summary should be.', f"Der Bericht zeigt {LOREM}", f"{LOREM} Why is this shown instead of my text?", f"「{LOREM}」と表示されます", "El informe imprime lorem ipsum dolor en vez del texto.", "lorem ipsum filter option broken again", "Lorem ipsum generator: commit status format edit reset audit system"]
+
+
+@pytest.mark.parametrize(("kind", "texts"), [("filler", MOCK_TEXTS), (None, ABOUT_MOCK)])
+def test_mock_latin_beyond_the_words_of_the_tables(kind, texts):
+    assert {t: read_rules(t)[0] for t in texts} == dict.fromkeys(texts, kind)
