@@ -19,7 +19,7 @@ _ASCII_MARKS = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 _CODE = regex.compile(r"(?:```|~~~).*?(?:```|~~~|\Z)|(`+)(?!`)(?:(?!\n\s*\n).)+?(?<!`)\1(?!`)", regex.S)
 _TAG = regex.compile(r"</?[a-z!][^<>]*>", regex.I)
 
-_NAME = r"[A-Za-z_][\w.\- ]{0,40}?"
+_NAME = r"[A-Za-z_][\w.\- ]*+"
 # The forms of a placeholder that a template engine or an author should have filled.
 PLACEHOLDERS = [
     rf"\{{\{{\s*{_NAME}\s*(?:\|[^{{}}\n]*)?\}}\}}",
@@ -35,10 +35,10 @@ PLACEHOLDERS = [
     r"(?<!#)##[A-Za-z_][\w.]*##",
     r"(?<![\w$])\$[A-Za-z_][\w.]*\$(?![\w$])",
     r"__[A-Za-z_][\w.]*?__TODO__",
-    r"[<\[]\s*INSERT\s+[^\]>\n]{1,40}[>\]]",
-    r"\[\s*Your\s+[^\]\n]{1,40}\s+here\s*\]",
-    r"\[[^\]\n]{1,40}\s(?:einfügen|eintragen|einsetzen|insérer|insertar|inserir)\]",
-    r"\[(?:insérer|insertar|inserir|inserisci)\s[^\]\n]{1,40}\]",
+    r"[<\[]\s*INSERT\s+(?:(?![<\[]\s*INSERT\s)[^\]>\n])+[>\]]",
+    r"\[\s*Your\s++(?:(?!\[\s*Your\s)[^\]\n])+?(?<!\s)\s++here\s*\]",
+    r"\[[^\[\]\n]+?\s(?:einfügen|eintragen|einsetzen|insérer|insertar|inserir)\]",
+    r"\[(?:insérer|insertar|inserir|inserisci)\s(?:(?!\[(?:insérer|insertar|inserir|inserisci)\s)[^\]\n])+\]",
 ]
 _PLACEHOLDER = regex.compile("|".join(PLACEHOLDERS), regex.I)
 # Quotation marks.
@@ -52,6 +52,7 @@ _SCRIPT = r"(?:java ?script|client-side scripts?|\bjs\b|scripts\b|scripting\b)"
 _ENABLE = r"(?:enabl|allow|activat|turn(?:ed)? on|switch(?:ed)? on|unblock|permit)\w*"
 _THING = r"(?:the |this |our |your )?(?:full text|page|site|website|forum|thread|content|contents|answers?|questions?|comments?|text|article|post|app|application)"
 _END = r"[.!…。]*"
+_SERVER = r"(?:nginx|apache(?:[ \-](?:tomcat|coyote))?|openresty|tengine|lighttpd|litespeed|caddy|microsoft-(?:iis|httpapi)|varnish|squid|envoy|jetty|gunicorn|werkzeug|cloudflare)"
 
 # Units that tell an error message of a site or server.
 ERRORS = [
@@ -59,12 +60,20 @@ ERRORS = [
     rf"(?:error[ :]+)?(?:{_LONG_REASON})",
     r"\{ ?\"(?:status|error|errors|code|message|detail)\" ?:[^{}]*(?:\{[^{}]*\}[^{}]*)*\}",
     r"(?:nosuchkey|nosuchbucket|accessdenied|internalerror)\b",
-    r"(?:the |this )?page (?:was )?not found|(?:the )?requested (?:page|url) (?:was not found|could not be found)[^.!]*",
+    r"(?:the |this )?page (?:was )?not found|(?:the )?requested (?:page|url|resource)(?: ['\"]?(?:https?:/)?/\S*)? (?:was not found|could not be found)[^.!]*",
     r"(?:the address you followed|this (?:link|address)|the link you followed) leads nowhere",
     r"the page you (?:asked for|requested|are looking for) (?:is not here|does not exist|could not be found|was not found|has moved)[^.!]*",
     r"(?:the|this) (?:question|answer|thread|post|page|content) (?:may have been|was|has been) (?:removed|deleted|moved)",
     r"this (?:content|page|thread) is no longer available",
-    r"you (?:lack|do not have|don't have) (?:the )?permissions? to (?:view|see|access|open) (?:this|the) \w+",
+    r"you (?:lack|do not have|don't have) (?:the )?permissions? to (?:view|see|access|open) (?:(?:this|the) \w+|/\S*)(?: on this server\b)?",
+    r"the server encountered an (?:internal error or misconfiguration|unexpected condition|internal error) and was unable to complete your request",
+    r"the proxy server (?:received an invalid response from an upstream server|could not handle the request)",
+    r"additionally, an? [45]\d\d [a-z ]+ error was encountered while trying to use an errordocument to handle the request",
+    r"more information about this error may be available in the server error log",
+    r"server error in '/[^']*' application|file or directory not found",
+    r"the resource you are looking for (?:might have|has) been removed, had its name changed, or is temporarily unavailable",
+    r"(?:an error occurred\. )?sorry, the page you are looking for is currently unavailable",
+    r"if you are the system administrator of this resource then you should check the error log for details",
     r"access (?:to this \w+ )?(?:is |was )?denied",
     r"(?:please )?(?:try|come back) (?:again )?(?:later|in a few minutes|soon)",
     r"the server got no answer in time",
@@ -123,7 +132,7 @@ FILLER = [
     r"(?:description|text|content|answer) not yet (?:written|available)",
     r"(?:dummy|filler|placeholder|mock) (?:text|content|copy)(?: for layout only)?|placeholder",
     r"write something useful in this box(?: \(min\.? ?\d+ characters\))?",
-    r"\[(?:todo|tbd|fixme)\b[^\]]{0,60}\]|\[(?:answer|question|text|content|body|title|description|placeholder|your [\w ]{1,30})\]",
+    r"\[(?:todo|tbd|fixme)\b[^\]]*\]|\[(?:answer|question|text|content|body|title|description|placeholder|your [\w ]+)\]",
     r"hier steht bald (?:ihr|dein) text|text folgt(?: in kürze)?|inhalt folgt(?: in kürze)?|platzhalter(?:text)?",
     r"(?:texte|contenu) (?:à venir|suivra)|(?:contenido|texto) (?:pendiente|por venir)|(?:conteúdo|texto) (?:em breve|a seguir|pendente)|próximamente",
     r"準備中(?:です)?|工事中(?:です)?|ここに(?:本文|テキスト|文章)が入ります",
@@ -134,6 +143,7 @@ AROUND = [
     r"[\w ]{1,40} ?[–-] ?questions and answers",
     r"^[\w .\-]{1,40} ={3,}",
     r"(?:request id|ref|ray|ray id|reference|error code|error id|id)[ :#]*[0-9a-f]{5,}|content-length: \d+|\([0-9a-f]{5,}\)|[0-9a-f]{8,}\b",
+    rf"{_SERVER}/\d[\w.\-]*(?: \([\w ./\-]+\))?(?: [a-z_\-]+/[\w.\-]+)*(?: server at \S+ port \d+)?|(?:faithfully yours, )?{_SERVER}[.]?$",
     r"loading|please wait|error\b|sorry\b|back to (?:the )?(?:start|home) ?page|go back|reload(?: the page)?",
 ]
 

@@ -101,3 +101,25 @@ ABOUT_MOCK = [f'The report prints "{LOREM}" where the summary should be.', f"Der
 @pytest.mark.parametrize(("kind", "texts"), [("filler", MOCK_TEXTS), (None, ABOUT_MOCK)])
 def test_mock_latin_beyond_the_words_of_the_tables(kind, texts):
     assert {t: read_rules(t)[0] for t in texts} == dict.fromkeys(texts, kind)
+
+
+SERVER_PAGES = [
+    "<html><head><title>502 Bad Gateway</title></head><body><center><h1>502 Bad Gateway</h1></center><hr><center>nginx/1.18.0</center></body></html>",
+    "502 Bad Gateway\n502 Bad Gateway\nnginx",
+    "Not Found\n\nThe requested URL /a/b.html was not found on this server.\n\nApache/2.4.41 (Ubuntu) Server at example.com Port 80",
+    "Not Found. The requested URL /x was not found on this server.",
+    "Forbidden\nYou don't have permission to access /private/ on this server.",
+]
+ABOUT_SERVERS = ["nginx", "nginx 502 bad gateway", "The requested URL /x was not found on this server. What can I do?", "Apache/2.4.41 (Ubuntu)", "nginx/1.18.0 answers 502 Bad Gateway"]
+LONG = "a_very_long_variable_name_of_a_template_that_nobody_filled_in"
+LONG_PLACEHOLDERS = [f"Hi {{{{ {LONG} }}}}, welcome", f"Hi {{{{ {LONG}\n | upper }}}}, welcome", f"[INSERT {LONG} HERE] is late", f"[Your {LONG} here]", f"[{LONG} einfügen]", f"[insérer {LONG}]", "{{" + " " * 50_000 + f"{LONG}" + " " * 50_000 + "}}"]
+
+
+@pytest.mark.parametrize(("kind", "texts"), [("error", SERVER_PAGES), (None, ABOUT_SERVERS), ("placeholder", LONG_PLACEHOLDERS)])
+def test_server_pages_and_long_placeholders(kind, texts):
+    assert {t: read_rules(t)[0] for t in texts} == dict.fromkeys(texts, kind)
+
+
+@pytest.mark.parametrize("text", ["{{ a", "[INSERT ", "[Your ", "[x ", "[insérer ", "[Your" + " " * 99])
+def test_unclosed_placeholders_end(text):
+    assert read_rules(text * 20_000)[0] is None
