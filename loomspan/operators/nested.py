@@ -168,16 +168,38 @@ def _members(state: str) -> list[tuple[str, str]]:
     return out
 
 
-def subtype_table(objects: DataFrame, list_name: str, states: list[str], lists: list[str]) -> DataFrame:
+def _kinds(state: str, lists: list[str]) -> set[tuple[str, str]]:
+    return {(name, "string" if kind[0] in "{[" else kind) for name, kind in _members(state) if name not in lists}
+
+
+def member_kinds(objects: DataFrame, list_name: str, lists: list[str]) -> dict[str, set[str]]:
+    """The kinds of each member over all variants of one list. Only the distinct pairs, the table's columns, come to the driver."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted({pair for state in batch.column(0).to_pylist() for pair in _kinds(state, lists)})
+            yield pa.RecordBatch.from_pydict({"member": pa.array([m for m, _ in pairs], pa.string()), "kind": pa.array([k for _, k in pairs], pa.string())})
+
+    states = objects.where(F.col("list_name") == list_name).select("variant").distinct()
+    kinds: dict[str, set[str]] = {}
+    for r in states.mapInArrow(rows, "member string, kind string").distinct().collect():
+        kinds.setdefault(r.member, set()).add(r.kind)
+    return kinds
+
+
+def typed_table(objects: DataFrame, list_name: str, kinds: dict[str, set[str]]) -> DataFrame:
     """The typed table of one list: doc_id, path, parent_path, position, variant and a column ``m_<member>`` per member.
 
-    A column's type is the least one that holds the members of all ``states`` (the list's variants); nested members are
-    JSON text. A value that can't be read in its column's type is null.
+    A column's type is the least one that holds all ``kinds`` of the member; nested members are JSON text. A value that
+    can't be read in its column's type is null.
     """
-    kinds: dict[str, set[str]] = {}
-    for state in states:
-        for name, kind in _members(state):
-            if name not in lists:
-                kinds.setdefault(name, set()).add("string" if kind[0] in "{[" else kind)
     columns = [F.col("members")[n].try_cast(SPARK_TYPES[promote(k)]).alias(f"m_{n}") for n, k in sorted(kinds.items())]
     return objects.where(F.col("list_name") == list_name).select("doc_id", "path", "parent_path", "position", "variant", *columns)
+
+
+def subtype_table(objects: DataFrame, list_name: str, states: list[str], lists: list[str]) -> DataFrame:
+    """:func:`typed_table` by the kinds of ``states``, the list's variants."""
+    kinds: dict[str, set[str]] = {}
+    for name, kind in set().union(*(_kinds(s, lists) for s in states)):
+        kinds.setdefault(name, set()).add(kind)
+    return typed_table(objects, list_name, kinds)

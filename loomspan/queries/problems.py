@@ -228,8 +228,7 @@ def p6_variants(spark: SparkSession, folder: str) -> DataFrame:
 def _meta_table(name: str):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         objects = stage(_meta_objects(spark, folder), "objects")
-        states = [r.variant for r in nested.variants(objects.where(F.col("list_name") == name)).limit(100_000).collect()]
-        return nested.subtype_table(objects, name, states, META_LISTS)
+        return nested.typed_table(objects, name, nested.member_kinds(objects, name, META_LISTS))
 
     query.__name__, query.__doc__ = f"p6_{name}", f"The typed table of the objects in lists named {name}."
     return query

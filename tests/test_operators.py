@@ -201,3 +201,14 @@ def test_order_across_blocks(spark):
     df = spark.createDataFrame(rows, "k string, f string, at timestamp_ntz, s string")
     got = {r.s: r.previous for r in drift.before_in_order(df, "k", "at", "f", "s").collect()}
     assert got == {"s11": None, "s12": "s11", "s13": "s12", "s41": "s13", "s42": "s41", "s43": "s42"}
+
+
+def test_typed_table_knows_the_members_of_all_variants(spark):
+    objects = spark.range(100_200).select(
+        F.lit("d").alias("doc_id"), F.lit("steps").alias("list_name"), F.col("id").cast("int").alias("position"), F.col("id").cast("string").alias("path"), F.lit("").alias("parent_path"),
+        F.concat(F.lit("{a:"), F.when(F.col("id") < 100_100, "integer").otherwise("string"), F.lit(",b:{x"), F.col("id"), F.lit(":float},steps:[steps]"), F.when(F.col("id") == 100_150, ",z:boolean").otherwise(""), F.lit("}")).alias("variant"),
+        F.create_map(F.lit("a"), F.col("id").cast("string")).alias("members"),
+    )
+    kinds = nested.member_kinds(objects, "steps", ["steps"])
+    assert kinds == {"a": {"integer", "string"}, "b": {"string"}, "z": {"boolean"}}
+    assert nested.typed_table(objects, "steps", kinds).dtypes[-3:] == [("m_a", "string"), ("m_b", "string"), ("m_z", "boolean")]
