@@ -426,6 +426,14 @@ def descendant_runs(spark, folder):
     return lineage.descendant_runs(known, known.where("parent_run_id IS NULL").orderBy("id").limit(3).select("id"))
 
 
+@query(f"""WITH RECURSIVE {CURRENT_RUNS}, d AS (SELECT id, 0 AS depth FROM cur WHERE parent_run_id IS NULL UNION ALL SELECT cur.id, depth + 1 FROM cur JOIN d ON cur.parent_run_id = d.id)
+  SELECT id, min(depth)::INT AS depth FROM d GROUP BY 1""")
+def descendant_runs_all(spark, folder):
+    """All runs below any root."""
+    known = current_runs(spark, folder)
+    return lineage.descendant_runs(known, known.where("parent_run_id IS NULL").select("id"))
+
+
 @query(f"""WITH RECURSIVE {CURRENT_ARTIFACTS}, {LINKS}, s AS (SELECT id FROM art WHERE run_id IS NOT NULL ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 5),
   t AS (SELECT id AS root, id AS artifact_id, run_id, 0 AS depth, [id] AS path FROM art WHERE id IN (SELECT id FROM s)
     UNION ALL SELECT t.root, l.artifact_id, a.run_id, t.depth + 1, list_append(t.path, l.artifact_id) FROM t JOIN (SELECT DISTINCT run_id, artifact_id FROM lnk WHERE direction = 'input') l ON l.run_id = t.run_id LEFT JOIN art a ON a.id = l.artifact_id
