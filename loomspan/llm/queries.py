@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import mixing, residue, tokenizer
-from loomspan.session import prepare, read_table
+from loomspan.session import prepare, read_table, stage
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +38,7 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
     counted, targets = _counted(spark, folder)
+    counted = stage(counted, "counted")
     return mixing.shares(mixing.mix(counted, targets, "doc_id", "source", "tokens"), counted, targets, "source", "tokens")
 
 
