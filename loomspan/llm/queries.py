@@ -49,9 +49,9 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """How many documents of each kind of residue there are."""
+    """How many documents of each kind of residue there are, by rule and as near-duplicates."""
     prepare(spark)
-    return residue.find_residue(read_table(spark, folder, "documents")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_documents"))
+    return residue.find_residue(read_table(spark, folder, "documents")).groupBy("kind", "via").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def p10_clean(spark: SparkSession, folder: str) -> DataFrame:

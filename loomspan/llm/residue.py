@@ -1,15 +1,18 @@
-"""Template residue and error-page texts: trusted rules, spread to near-duplicates through SimHash tables.
+"""Template residue and error-page texts: trusted labels, spread to near-duplicates through SimHash tables.
 
-Every document is read once: its rule label, the exact class of its plain text (digits alike), and the 64-bit SimHash
+Every document is read once: its rule label, the exact class of its plain text (digits alike), and the 128-bit SimHash
 of its five-word shingles. Classes labelled wholly residue are trusted. Their near-duplicates are sought in SimHash
-tables (each keyed by some bits of the hash), which lose pairs, since all tables draw on the same 64 bits, and by
-shared shingles of their prefixes, which lose none: in one order of all shingles, two texts of similarity 0.8 share one
-of the first n - ceil(0.8 n) + 1 of each. Pairs are verified by the Jaccard similarity of their shingles. What is found
-joins the frontier until the connected components of the trusted classes are complete.
+tables, each keyed by some bits of the hash: the bits grow with the number of trusted classes, so that a class meets
+about as many others by chance at any size, and the number of tables follows from the bits and RECALL. Short texts have
+too few shingles for a SimHash to be sure, so shared shingles of the texts' prefixes are sought besides; they lose
+nothing: in one order of all shingles, two texts of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 of each.
+Pairs are verified by the Jaccard similarity of their shingles. What is found takes the label and joins the frontier,
+until the connected components of the trusted classes are complete; a document is residue if its class is in one.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -27,19 +30,22 @@ from loomspan.session import stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Tables and bits per table. A pair at Hamming distance 10 meets in one of them with 0.86, at 14 with 0.36: the prefixes find the rest.
-TABLES, BITS = 44, 16
-MAX_HAMMING = 22
+#: Share of the pairs of similarity 0.8 that meet in a table, if each bit agrees with AGREE: 0.85 for long texts, 0.81 for eight words.
+RECALL, AGREE = 0.95, 0.81
+#: Bits of a table beyond the logarithm of the frontier, and their bounds.
+SPARE_BITS, LEAST_BITS, MOST_BITS = 2, 8, 40
+#: Pairs further apart in the 128 bits are no candidates: 24 is the mean distance at AGREE.
+MAX_HAMMING = 44
 #: The frontier's table rows are broadcast up to so many (about 16 MB), beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 _NUMBER = re.compile(r"(?:(?<=\W)|^)(?=[a-f]*\d)[0-9a-f]{5,}(?=\W|$)|\d+")
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
 
 def template(words: str) -> str:
-    """Plain words with all numbers and hexadecimal ids alike."""
-    return " ".join([t if t.isalpha() else _NUMBER.sub("0", t) for t in words.split(" ")])
+    """Plain words with all numbers and hexadecimal ids alike; a text that is the same text over and over, once."""
+    return rules.once(" ".join([t if t.isalpha() else _NUMBER.sub("0", t) for t in words.split(" ")]))
 
 
 def _shingles(text: str) -> set[str]:
@@ -77,19 +83,12 @@ def prefix_sizes(n: np.ndarray) -> np.ndarray:
     return n - np.ceil(SIMILARITY * n - 1e-9).astype(np.int64) + 1
 
 
-def simhashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of the distinct shingles of each text, and their number; equal texts give equal hashes."""
-    return signatures(texts)[:2]
-
-
-def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The SimHash of the distinct shingles of each text, their number, and the hashes of the prefix of the shingles in order of their hashes.
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the distinct shingles of all texts, in ascending order within each text, and how many each text has.
 
     A text of fewer than SHINGLE words counts as if filled up with blanks: it has one shingle.
     """
-    out, counts, prefixes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), []
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    get = _WORDS.__getitem__
+    get, parts, counts = _WORDS.__getitem__, [], []
     for a in range(0, len(texts), 500):
         lists = [t.split(" ") for t in texts[a : a + 500]]
         lists = [w if len(w) >= SHINGLE else w + [""] * (SHINGLE - len(w)) for w in lists]
@@ -105,15 +104,32 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarra
         hashed, owner = hashed[order], owner[order]
         first = np.ones(len(hashed), bool)
         first[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
-        hashed, owner = hashed[first], owner[first]
-        n = np.bincount(owner, minlength=len(lists))
-        bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(n)[:-1])), axis=0, dtype=np.int32)
-        out[a : a + 500] = ((2 * ones > n[:, None]).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
-        counts[a : a + 500] = n
-        at = np.concatenate(([0], np.cumsum(n)[:-1]))
-        prefixes += [hashed[i : i + k].view(np.int64) for i, k in zip(at, prefix_sizes(n))]
-    return out.view(np.int64), counts, prefixes
+        parts.append(hashed[first])
+        counts.append(np.bincount(owner[first], minlength=len(lists)))
+    return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _majority(hashed: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Per text the 64 bits that more than half of its hashes have."""
+    out, weights = np.zeros(len(n), np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for a in range(0, len(n), 500):
+        part = hashed[at[a] : at[a] + int(n[a : a + 500].sum())]
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, at[a : a + 500] - at[a], axis=0, dtype=np.int32)
+        out[a : a + 500] = ((2 * ones > n[a : a + 500, None]).astype(np.uint64) * weights).sum(axis=1, dtype=np.uint64)
+    return out.view(np.int64)
+
+
+def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The SimHash (two numbers of 64 bits) of the distinct shingles of each text, their number, and the hashes of the prefix of the shingles."""
+    hashed, n = shingle_hashes(texts)
+    at = np.concatenate(([0], np.cumsum(n)))[: len(n)].astype(np.int64)
+    both = np.stack([_majority(h, at, n) for h in (hashed, _mixed(hashed ^ np.uint64(0xD6E8FEB86659FD93)))], axis=1) if len(n) else np.zeros((0, 2), np.int64)
+    return both, n, [hashed[i : i + k].view(np.int64) for i, k in zip(at, prefix_sizes(n))]
+
+
+def plain_words(text: str | None) -> str:
+    return rules.plain(rules.without_code(rules.visible(text))) if text else ""
 
 
 def read_rules(text: str | None) -> tuple[str | None, str]:
@@ -140,95 +156,112 @@ def features(documents: DataFrame, key: str, text: str) -> DataFrame:
                     pa.array([label for label, _ in read], pa.string()),
                     pa.array([xxhash.xxh3_128_digest(t) if t else None for t in texts], pa.binary()),
                     pa.array([int(n[i]) if t else 0 for t, i in zip(texts, at)], pa.int32()),
-                    pa.array([int(hashed[i]) if t else None for t, i in zip(texts, at)], pa.int64()),
+                    pa.array([hashed[i] if t else None for t, i in zip(texts, at)], pa.list_(pa.int64())),
                     pa.array([prefixes[i] if t else None for t, i in zip(texts, at)], pa.list_(pa.int64())),
                 ],
                 schema=_FEATURES,
             )
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(rows, "doc_id long, label string, class binary, n int, simhash long, prefix array<long>")
+    return documents.select(F.col(key).cast("long").alias("doc_id"), text).mapInArrow(rows, "doc_id long, label string, class binary, n int, simhash array<long>, prefix array<long>")
 
 
-def _masks(tables: int, bits: int) -> list[int]:
-    """The bits each table looks at, drawn with a fixed seed, as signed 64-bit masks."""
+def hashes_of(texts: DataFrame) -> DataFrame:
+    """(rep, shingles): the hashes of the shingles of ``texts`` (doc_id, text)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed, n = shingle_hashes([template(plain_words(t)) for t in batch.column(1).to_pylist()])
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.view(np.int64)))], names=["rep", "shingles"])
+
+    return texts.select("doc_id", "text").mapInArrow(rows, "rep long, shingles array<long>")
+
+
+def table_sizes(frontier: int) -> tuple[int, int]:
+    """(bits, tables) for so many trusted classes: a pair of similarity SIMILARITY meets in one of the tables with RECALL."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, frontier))) + SPARE_BITS))
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**bits))
+
+
+def _masks(tables: int, bits: int) -> list[list[int]]:
+    """The bits of the 128 each table looks at, drawn with a fixed seed, as two signed 64-bit masks."""
     rng = random.Random(64)
-    masks = [reduce(lambda m, b: m | 1 << b, rng.sample(range(64), bits), 0) for _ in range(tables)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = [reduce(lambda m, b: m | 1 << b, rng.sample(range(128), bits), 0) for _ in range(tables)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [[signed(m & (1 << 64) - 1), signed(m >> 64)] for m in masks]
 
 
-def _in_tables(classes: DataFrame, prefix: str) -> DataFrame:
-    keys = F.array(*(F.col("simhash").bitwiseAND(F.lit(m)) for m in _masks(TABLES, BITS)))
-    return classes.select(F.posexplode(keys).alias("table", "bucket"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"), F.col("simhash").alias(f"{prefix}_hash"))
+def _in_tables(classes: DataFrame, prefix: str, masks: list[list[int]]) -> DataFrame:
+    """One row per class and table. The bucket is a hash of the table and its bits; what it confuses the distance tells apart."""
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col("simhash")[0].bitwiseAND(F.lit(x)), F.col("simhash")[1].bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(masks)))
+    return classes.select(F.posexplode(keys).alias(f"{prefix}_at", "bucket"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"), F.col("simhash").alias(f"{prefix}_hash"))
 
 
 def _in_prefixes(classes: DataFrame, prefix: str) -> DataFrame:
-    return classes.select(F.posexplode("prefix").alias(f"{prefix}_at", "shingle"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"))
+    return classes.select(F.posexplode("prefix").alias(f"{prefix}_at", "bucket"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"))
 
 
-def _met(a: DataFrame, b: DataFrame, by: list[str], close: Column) -> DataFrame:
-    """(a_rep, b_rep): the pairs of like length that meet and are close. Few rows of ``a`` are broadcast."""
+def _met(a: DataFrame, b: DataFrame, close: Column) -> DataFrame:
+    """(a_rep, b_rep): the pairs of like length that meet and are close. Few rows of ``a`` are broadcast, else both sides are shuffled by bucket."""
     if a.count() <= BROADCAST_ROWS:
         a = F.broadcast(a)
     like = (F.col("b_n") >= F.col("a_n") * SIMILARITY) & (F.col("a_n") >= F.col("b_n") * SIMILARITY)
-    return b.join(a, by).where(like & close).select("a_rep", "b_rep")
+    return b.join(a, "bucket").where(like & close).select("a_rep", "b_rep")
 
 
-def _by_tables(frontier: DataFrame, others: DataFrame) -> DataFrame:
-    close = F.bit_count(F.col("a_hash").bitwiseXOR(F.col("b_hash"))) <= MAX_HAMMING
-    return _met(_in_tables(frontier, "a"), _in_tables(others, "b"), ["table", "bucket"], close)
+def by_tables(frontier: DataFrame, others: DataFrame) -> DataFrame:
+    """The pairs that meet in a table and are near in all bits; a pair comes out of the first table that it meets in."""
+    masks = _masks(*table_sizes(frontier.count())[::-1])
+    apart = [F.col("a_hash")[i].bitwiseXOR(F.col("b_hash")[i]) for i in (0, 1)]
+    close = F.bit_count(apart[0]) + F.bit_count(apart[1]) <= MAX_HAMMING
+    every = F.array(*(F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in masks))
+    earlier = F.exists(F.slice(every, 1, F.col("a_at")), lambda m: (apart[0].bitwiseAND(m["x"]) == 0) & (apart[1].bitwiseAND(m["y"]) == 0))
+    return _met(_in_tables(frontier, "a", masks), _in_tables(others, "b", masks), (F.col("a_at") == F.col("b_at")) & close & ~earlier)
 
 
-def _by_prefixes(frontier: DataFrame, others: DataFrame) -> DataFrame:
+def by_prefixes(frontier: DataFrame, others: DataFrame) -> DataFrame:
     """All pairs of at least SIMILARITY, and some others: after the first shingle that both share, enough must be left of either."""
     left = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
     close = left + 1e-6 >= (F.col("a_n") + F.col("b_n")) * (SIMILARITY / (1 + SIMILARITY))
-    return _met(_in_prefixes(frontier, "a"), _in_prefixes(others, "b"), ["shingle"], close)
-
-
-def _near(frontier: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
-    """The classes of ``others`` that are near-duplicates of one of ``frontier``: all of them if both have prefixes, else those that the tables find."""
-    pairs = _by_tables(frontier, others)
-    if "prefix" in frontier.columns and "prefix" in others.columns:
-        pairs = pairs.unionByName(_by_prefixes(frontier, others))
-    pairs = stage(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("a_rep").alias("doc_id")).unionByName(pairs.select(F.col("b_rep").alias("doc_id"))).distinct()
-    read = texts.join(wanted, "doc_id", "left_semi")
+    return _met(_in_prefixes(frontier, "a"), _in_prefixes(others, "b"), close)
 
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        plain = lambda t: template(read_rules(t)[1])
-        return pd.Series([jaccard(plain(i), plain(j)) for i, j in zip(x, y)], dtype="float64")
 
-    both = pairs.join(read.select(F.col("doc_id").alias("a_rep"), F.col("text").alias("x")), "a_rep").join(read.select(F.col("doc_id").alias("b_rep"), F.col("text").alias("y")), "b_rep")
-    return both.where(similarity("x", "y") >= SIMILARITY).select(F.col("b_rep").alias("rep")).distinct()
+def near(frontier: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, kind): the classes of ``others`` that are near-duplicates of one of ``frontier``, with its label (the least of several)."""
+    pairs = stage(by_tables(frontier, others).unionByName(by_prefixes(frontier, others)).distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a_rep", "b_rep")).alias("doc_id")).distinct()
+    hashed = stage(hashes_of(texts.join(wanted, "doc_id", "left_semi")), "shingles")
+    both = pairs.join(hashed.select(F.col("rep").alias("a_rep"), F.col("shingles").alias("x")), "a_rep").join(hashed.select(F.col("rep").alias("b_rep"), F.col("shingles").alias("y")), "b_rep")
+    shared = F.size(F.array_intersect("x", "y"))
+    verified = both.where(shared >= SIMILARITY * (F.size("x") + F.size("y") - shared) - 1e-9).select("a_rep", "b_rep")
+    return verified.join(frontier.select(F.col("rep").alias("a_rep"), "kind"), "a_rep").groupBy(F.col("b_rep").alias("rep")).agg(F.min("kind").alias("kind"))
 
 
 def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, kind): the documents that are residue; kind is placeholder, error, notice, filler or near_duplicate.
+    """(doc_id, kind, via): the documents that are residue; kind is placeholder, error, notice or filler, via is rule or near_duplicate.
 
     A document with an unfilled placeholder outside code is a case by itself and not spread: filled copies of it are
     real. Null, empty and blank texts, and texts that are only code, are no cases. Texts of fewer than five words have
     one shingle, the whole text, so their near-duplicates are the texts that only differ in numbers, case or blanks.
     """
     read = stage(features(documents, key, text), "features")
+    whole = F.when(F.col("label") != "placeholder", F.col("label"))
     classes = read.where("class IS NOT NULL").groupBy("class").agg(
-        F.max(F.when(F.col("label") != "placeholder", 1).otherwise(0)).alias("trusted"), F.max(F.when(F.col("label") == "placeholder", 1).otherwise(0)).alias("filled_in"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("prefix").alias("prefix")
+        F.min(whole).alias("kind"), F.max(F.when(F.col("label") == "placeholder", 1).otherwise(0)).alias("filled_in"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("prefix").alias("prefix")
     )
-    known = stage(classes.withColumn("trusted", F.col("trusted") == 1), "classes")
+    known = stage(classes, "classes")
     texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = [known.where("trusted").select("class")]
-    frontier = known.where("trusted AND n > 1")
-    rest = known.where("NOT trusted AND filled_in = 0 AND n > 1")
+    frontier, rest = known.where("kind IS NOT NULL"), known.where("kind IS NULL AND filled_in = 0").drop("kind")
+    found = [frontier.select("class", "kind", F.lit("rule").alias("via"))]
     while True:
-        new = stage(rest.join(_near(frontier, rest, texts), "rep", "left_semi"), "near")
+        new = stage(rest.join(near(frontier, rest, texts), "rep"), "near")
         if new.isEmpty():
             break
-        found.append(new.select("class"))
+        found.append(new.select("class", "kind", F.lit("near_duplicate").alias("via")))
         frontier, rest = new, rest.join(new, "rep", "left_anti")
-    trusted = reduce(DataFrame.unionByName, found)
-    ruled = read.where("label IS NOT NULL").select("doc_id", F.col("label").alias("kind"))
-    spread = read.where("label IS NULL AND class IS NOT NULL").join(trusted, "class", "left_semi").select("doc_id", F.lit("near_duplicate").alias("kind"))
-    return ruled.unionByName(spread)
+    components = reduce(DataFrame.unionByName, found)
+    alone = read.where("label = 'placeholder'").select("doc_id", F.col("label").alias("kind"), F.lit("rule").alias("via"))
+    return read.where("label IS NULL OR label <> 'placeholder'").select("doc_id", "class").join(components, "class").select("doc_id", "kind", "via").unionByName(alone)
 
 
 def without_residue(documents: DataFrame, residue: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,8 +1,8 @@
-"""Rules for template residue: placeholders outside code, and texts that are wholly filler, an error or a script notice.
+"""Rules that label trusted residue: placeholders outside code, and texts that are wholly filler, an error or a script notice.
 
-A text is brought to plain words (no code, no markup, one case, single blanks). It is wholly residue if it can be read
-from start to end as a chain of known units, at least one of them telling; a post that talks about an error or quotes
-it leaves words that no unit covers.
+A text is brought to plain words (no code, no markup, one case, single blanks). It is wholly residue if it has a sign of
+residue and next to nothing else: all its words belong to the small vocabulary in which sites talk about themselves. A
+post that talks about an error or quotes it has words of its own subject, speaks of itself (I, my, why) or asks.
 """
 
 from __future__ import annotations
@@ -48,116 +48,135 @@ _SIGN = re.compile(r"[{%<\[@#$]|__")
 
 _REASON = "|".join(sorted((regex.escape(s.phrase.lower()) for s in HTTPStatus if s >= 400), key=len, reverse=True))
 _LONG_REASON = "|".join(sorted((regex.escape(s.phrase.lower()) for s in HTTPStatus if s >= 400 and " " in s.phrase), key=len, reverse=True))
-_SCRIPT = r"(?:java ?script|client-side scripts?|\bjs\b|scripts\b|scripting\b)"
-_ENABLE = r"(?:enabl|allow|activat|turn(?:ed)? on|switch(?:ed)? on|unblock|permit)\w*"
-_THING = r"(?:the |this |our |your )?(?:full text|page|site|website|forum|thread|content|contents|answers?|questions?|comments?|text|article|post|app|application)"
-_END = r"[.!…。]*"
 _SERVER = r"(?:nginx|apache(?:[ \-](?:tomcat|coyote))?|openresty|tengine|lighttpd|litespeed|caddy|microsoft-(?:iis|httpapi)|varnish|squid|envoy|jetty|gunicorn|werkzeug|cloudflare)"
+_PLACE = r"(?:page|site|website|forum|thread|questions?|answers?|comments?|posts?|contents?|articles?|topic|documents?|files?|resource|url|link|address|server|app|application|service)"
 
-# Units that tell an error message of a site or server.
-ERRORS = [
-    rf"(?:http(?:/\d(?:\.\d)?)?|http status|status|error|error code|code|fehler|erreur)?[ :#]*[(\[]?[45]\d\d[)\]]?(?:[ :\-–(]+(?:{_REASON}))?\)?",
-    rf"(?:error[ :]+)?(?:{_LONG_REASON})",
-    r"\{ ?\"(?:status|error|errors|code|message|detail)\" ?:[^{}]*(?:\{[^{}]*\}[^{}]*)*\}",
-    r"(?:nosuchkey|nosuchbucket|accessdenied|internalerror)\b",
-    r"(?:the |this )?page (?:was )?not found|(?:the )?requested (?:page|url|resource)(?: ['\"]?(?:https?:/)?/\S*)? (?:was not found|could not be found)[^.!]*",
-    r"(?:the address you followed|this (?:link|address)|the link you followed) leads nowhere",
-    r"the page you (?:asked for|requested|are looking for) (?:is not here|does not exist|could not be found|was not found|has moved)[^.!]*",
-    r"(?:the|this) (?:question|answer|thread|post|page|content) (?:may have been|was|has been) (?:removed|deleted|moved)",
-    r"this (?:content|page|thread) is no longer available",
-    r"you (?:lack|do not have|don't have) (?:the )?permissions? to (?:view|see|access|open) (?:(?:this|the) \w+|/\S*)(?: on this server\b)?",
-    r"the server encountered an (?:internal error or misconfiguration|unexpected condition|internal error) and was unable to complete your request",
-    r"the proxy server (?:received an invalid response from an upstream server|could not handle the request)",
-    r"additionally, an? [45]\d\d [a-z ]+ error was encountered while trying to use an errordocument to handle the request",
-    r"more information about this error may be available in the server error log",
-    r"server error in '/[^']*' application|file or directory not found",
-    r"the resource you are looking for (?:might have|has) been removed, had its name changed, or is temporarily unavailable",
-    r"(?:an error occurred\. )?sorry, the page you are looking for is currently unavailable",
-    r"if you are the system administrator of this resource then you should check the error log for details",
-    r"access (?:to this \w+ )?(?:is |was )?denied",
-    r"(?:please )?(?:try|come back) (?:again )?(?:later|in a few minutes|soon)",
-    r"the server got no answer in time",
-    r"the (?:server|site) (?:is|was) (?:temporarily )?(?:unable|not able) to [^.!]*",
-    r"the operators (?:were|have been) (?:told|notified)",
-    r"incident \w+ was logged",
-    r"your session (?:has )?(?:expired|timed out)[^.!]*|(?:please )?log in again(?: to go on| to continue)?",
-    r"slow down and wait \d+ \w+ before you [^.!]*|too many requests[^.!]*",
-    r"oops|(?:sorry, )?something went wrong(?: on our side| on our end)?",
-    r"well, this is awkward|the page could not be (?:built|rendered|loaded|displayed)",
-    r"(?:could not|cannot|can't|unable to) connect to the (?:database|server)(?: \([^)]*\))?",
-    r"error establishing a database connection",
-    r"the [\w ]+ is out of reach; [\w ]+ can't be displayed",
-    r"(?:the site is )?down for (?:upkeep|maintenance)(?:, come back soon)?|(?:we are |site )?under maintenance",
-    r"render failed: template '[^']*' raised after \d+ ms",
+# What a program prints, in one piece.
+PRINTED = [
+    r"\{ ?\"(?:status|error|errors|code|message|detail|statuscode|error_code)\" ?:[^{}]*(?:\{[^{}]*\}[^{}]*)*\}",
     r"traceback \(most recent call last\):(?: ?file \"[^\"]*\", line \d+(?:, in [\w<>]+)?)+ ?(?:[\w.]*(?:error|exception)\b: ?(?:'[^']*'|\"[^\"]*\"|\S+)?)?",
     r"(?:php )?(?:warning|notice|fatal error|parse error|deprecated): [^.!]*? in /\S+ on line \d+",
-    r"seite vorübergehend nicht erreichbar(?: ?[–-] ?wartungsarbeiten)?|diese seite gibt es nicht(?: \(mehr\))?|(?:die )?seite (?:wurde )?nicht gefunden",
-    r"le serveur n'a pas pu traiter la demande|(?:la )?page (?:introuvable|non trouvée)|cette page n'existe (?:pas|plus)",
-    r"no se encontró la página solicitada|página no encontrada|(?:la página|esta página) no existe",
-    r"a página (?:solicitada )?não foi encontrada|página não encontrada",
-    r"お探しのページは見つかりませんでした|ページが見つかりません(?:でした)?|サーバーエラー(?:が発生しました)?|アクセスが拒否されました",
-    r"interner serverfehler|erreur interne du serveur|error interno del servidor|erro interno do servidor|zugriff verweigert|accès (?:refusé|interdit)|acceso denegado|acesso negado",
-    r"ihre sitzung ist abgelaufen|votre session a expiré|su sesión ha (?:caducado|expirado)|(?:a )?sua sessão expirou",
-    r"(?:el servidor no pudo|o servidor não (?:pôde|conseguiu)|der server konnte|le serveur n'a pas pu)[^.!?]*",
+    r"server error in '/[^']*' application",
+    rf"(?:http(?:/\d(?:\.\d)?)?|http status|status|error|error code|code|fehler|erreur)?[ :#]*(?<![\w.])[(\[]?[45]\d\d[)\]]?(?![\w.]*\w)(?:[ :\-–(]+(?:{_REASON})\b)?\)?",
+    rf"\b(?:{_LONG_REASON})\b",
+    r"\b(?:nosuchkey|nosuchbucket|accessdenied|internalerror)\b",
+]
+# A note of an author that text is to follow, in one piece.
+NOTES = [r"\[(?:todo|tbd|fixme)\b[^\]]*\]"]
+# What stands around residue and does not tell it.
+AROUND = [
+    r"(?:home|start|questions|tags|users|about|help|log ?in|sign up)(?: ?\| ?(?:home|start|questions|tags|users|about|help|log ?in|sign up))+",
+    r"^[\w .\-]{1,40} ={3,}|^[\w .\-]{1,40} ?[–|\-] ?(?:questions and answers|forum|community|help|support)\b",
+    r"\b(?:request id|incident(?: id)?|ref|ray|ray id|reference|error code|error id|id)[ :#]*[0-9a-f]*\d[0-9a-f]*\b|content-length: \d+|[(\[][0-9a-f]+[)\]]|\b(?=[a-f]*\d)[0-9a-f]{8,}\b",
+    rf"(?:{_SERVER}/\d[\w.\-]*(?: \([\w ./\-]+\))?(?: [a-z_\-]+/[\w.\-]+)*(?: server at \S+ port \d+)?|(?:faithfully yours, )?{_SERVER}[.]?)$",
+    r"\b(?:back to (?:the )?(?:start|home|main|front) ?page|go back|reload(?: the page)?|please wait|loading)\b[.…]*",
+    r"(?<=\s)(?:https?:/)?/\S+|\(?\bhost [\w.\-]+\)?|'[\w./]*'|\b(?:after|in) \d+ (?:ms|s|seconds|minutes)\b|\bor delete it\b",
 ]
-# Units that tell a notice that scripts or a browser check are needed.
+# Signs of an error message of a site or server.
+ERRORS = [
+    rf"\b{_PLACE}\b.*\b(?:(?:was|is|are|were|could|can)(?: not|n't)(?: be)? (?:found|here|available|reachable|working|responding)|(?:does|do)(?: not|n't) exist|leads? nowhere|no longer (?:available|exists?|here)|(?:been|was|were) (?:removed|deleted|moved|closed|taken down))",
+    rf"\b{_PLACE}\b.*\b(?:can(?:'t|not| not)|could(?:n't| not)) be (?:reached|found|displayed|shown|opened|loaded|built|rendered|processed|completed)",
+    rf"\b{_PLACE} not found|\b{_PLACE}\b.*\b(?:unavailable|unreachable|offline|overloaded|is down|took too long)",
+    r"\b(?:is|are) out of reach\b|\bdown for \w+|\b(?:under|scheduled) maintenance\b",
+    r"\baccess\b.*\bdenied|\b(?:lack|do not have|don't have|no) (?:the )?permissions?\b|\bnot (?:authorized|allowed) to (?:view|see|access|open)",
+    r"\b(?:session|page|link|token) (?:has |is )?(?:expired|timed out|ended)",
+    r"\b(?:request|connection|account|address|ip)\b.*\b(?:blocked|refused|rejected|denied|forbidden|reset)\b|\b(?:will )?be (?:right )?back (?:soon|shortly|later)\b",
+    r"\bsomething went wrong|\b(?:an|internal|unexpected|fatal|unknown) error\b|\btechnical (?:difficulties|problems?)",
+    r"\b(?:unable|not able|failed) to (?:connect|complete|process|handle|load|open|reach|render|display|establish)",
+    r"\b(?:could(?:n't| not)|can(?:'t|not)) (?:connect|load|open|process|reach|complete|handle|establish|display)",
+    r"\b(?:timed out|no (?:answer|response) in time)\b|\b(?:invalid|no) response from\b",
+    r"\btoo many requests\b|\bslow down\b|\brate limit\b",
+    r"\b(?:render|rendering|request|connection|loading) failed\b|\berror (?:establishing|loading|rendering)\b",
+    r"\b(?:try|come) (?:again |back )+(?:later|soon|in a few)|\btry later\b",
+    r"\b(?:operators?|administrators?|team|staff) (?:was|were|has been|have been) (?:told|notified|informed|alerted)",
+    r"\b(?:seite|inhalt|server|dienst)\b.*\b(?:nicht (?:erreichbar|gefunden|verfügbar|mehr)|gibt es nicht|existiert nicht|konnte nicht)|\binterner serverfehler|\bzugriff verweigert|\bsitzung ist abgelaufen",
+    r"\b(?:page|contenu|serveur|service)\b.*\b(?:introuvable|non trouvée|n'existe (?:pas|plus)|n'a pas pu|indisponible)|\berreur interne|\baccès (?:refusé|interdit)|\bsession a expiré",
+    r"\bno se (?:encontró|pudo)\b.*\b(?:página|contenido|solicitud)|\b(?:página|servidor|contenido)\b.*\b(?:no (?:encontrad[ao]|existe|pudo|está disponible))|\berror interno|\bacceso denegado|\bsesión ha (?:caducado|expirado)",
+    r"\b(?:página|servidor|conteúdo)\b.*\bnão (?:foi )?(?:encontrad[ao]|existe|pôde|conseguiu|está disponível)|\berro interno|\bacesso negado|\bsessão expirou",
+    r"\bpagina\b.*\b(?:non (?:trovata|esiste)|niet gevonden)|\bservizio non disponibile|\baccesso negato|\btoegang geweigerd",
+    r"(?:ページ|サーバー|アクセス|セッション).*(?:見つかりません|エラー|拒否されました|切れました|利用できません)",
+]
+_SCRIPT = r"(?:java ?script|(?:client-side )?scripts?\b|\bjs\b|scripting\b)"
+_ON = r"(?:enabl|allow|activat|unblock|permit)\w*|(?:turn|switch)\w* (?:\w+ )?on|on"
+_OFF = r"disabled|blocked|blocks|off|deactivated|not (?:enabled|available|supported|running|allowed)|could(?:n't| not) be started|(?:does(?:n't| not)|don't) support"
+# Signs of a notice that scripts or a browser check are needed.
 NOTICES = [
-    rf"(?![^.!?]*\b(?:i|my|which|users)\b)(?=[^.!?]*{_SCRIPT})(?=[^.!?]*\b{_ENABLE})(?:please|kindly|sorry,? (?:but )?you|you (?:need|have|must)|to \w+ {_THING}|in order to|{_ENABLE})[^.!?]*",
-    rf"(?:your )?{_SCRIPT} (?:is|was|are|were|seems?|could not)(?: to be)? (?:disabled|blocked|off|turned off|switched off|be started|not enabled|not available)[^.!?]*",
-    rf"(?:please|kindly|sorry, you (?:have to|need to|must)|you (?:have to|need to|must)) {_ENABLE} it[^.!?]*",
-    rf"(?:please |kindly )?{_ENABLE} it(?: and|, then) (?:re\w+|try|come)[^.!?]*",
-    rf"without {_SCRIPT} {_THING} (?:can't|cannot) be (?:shown|displayed|loaded)",
-    rf"{_THING} (?:needs?|requires?) {_SCRIPT}(?: to (?:run|work))?(?:; (?:check your blocker|reload once it is on)|[^.!?]{{0,40}})",
-    rf"{_THING} (?:is|are) loaded (?:by|with) {_SCRIPT}(?:, which your browser blocks)?",
-    rf"we're sorry,? but {_THING} (?:doesn't|does not|don't) work (?:properly )?without {_SCRIPT}[^.!?]*",
-    r"your browser is too old[^.!?]*|your browser (?:does not|doesn't) support [^.!?]*",
-    r"checking (?:if |that )?your browser[^.!?]*|this takes a few seconds|this (?:process|check) is automatic",
-    r"(?:hold on|just a moment|one moment)(?:, we verify that you are human|[^.!?]{0,40})|(?:please )?(?:verify|confirm|prove)(?:ing)? (?:that )?you are (?:a )?human[^.!?]*",
-    r"(?:bitte )?aktivieren sie javascript[^.!?]*|für diese seite muss javascript (?:eingeschaltet|aktiviert) sein|javascript ist (?:deaktiviert|ausgeschaltet)[^.!?]*|diese seite (?:benötigt|braucht) javascript[^.!?]*",
-    r"(?:veuillez )?activer javascript[^.!?]*|cette page exige l'exécution de scripts|cette page nécessite javascript[^.!?]*|javascript est désactivé[^.!?]*",
-    r"(?:por favor,? )?activ[ae] javascript[^.!?]*|esta página (?:necesita|requiere) javascript[^.!?]*|habilit[ae] (?:o )?javascript[^.!?]*",
-    r"(?=[^.!?]*javascript)(?=[^.!?]*\b(?:aktivier|ein(?:schalt|geschalt)|erlaub|activ|autoris|habilit|permit|ativ|lig(?:ar|ue)\b|attiv|abilit|inschakel|schakel|włącz|включ))(?![^.!?]*\b(?:ich|wir|je|nous|yo|eu|io|ik|i|my|which|users)\b)(?![^.!?]*\?)[^.!?]+",
-    r"(?:[^.!?。]*を表示するには、? ?)?javascript ?を(?:有効|オン)にして(?:ください|下さい)",
+    rf"{_SCRIPT}.*\b(?:{_ON}|{_OFF}|required|needed)\b|\b(?:{_ON}|{_OFF}|require[sd]?|needs?)\b.*{_SCRIPT}",
+    rf"\b(?:without|loaded (?:by|with)|by means of) {_SCRIPT}",
+    r"\b(?:checking|verifying|we check|we verify)\b.*\b(?:browser|connection|human|robot)\b|\b(?:verify|confirm|prove|check)\b.*\b(?:you are (?:a )?human|(?:not|n't) a (?:ro)?bot)",
+    r"\bbrowser is (?:too old|out of date|outdated|not supported)|\b(?:enable|allow) cookies\b",
+    r"javascript.*\b(?:aktivier|ein(?:schalt|geschalt)|erlaub|nötig|benötig|erforderlich|deaktiviert|activ|autoris|nécessaire|désactivé|habilit|permit|ativ|lig(?:ar|ue)\b|attiv|abilit|inschakel|schakel|włącz|включ|necesari|necessári)",
+    r"\b(?:aktivier|erlaub|benötig|braucht|activ|autoris|nécessit|exige|habilit|permit|ativ|lig(?:ar|ue)\b|attiv|abilit|inschakel|schakel|włącz|включ|necesit|requiere|precis)\w*.*(?:javascript|\bscripts\b)",
+    r"javascript ?を(?:有効|オン)",
 ]
-# Units that tell filler where content should be.
+_COPY = r"(?:text|content|copy|post|page|article|answer|question|description|paragraph|heading|title|body)s?"
+# Signs of filler where content should be.
 FILLER = [
-    r"(?:heading|item|paragraph|answer|question|section|title|text) \d+: sample (?:text|copy|content) to be replaced",
-    r"sample (?:question|answer|post|text|copy|content|page)(?: no\.? ?\d+)?,? (?:to be replaced|replace before publishing)",
-    r"this is a sample (?:post|page|text|answer|question)\.? ?(?:edit or delete it(?:, then start (?:writing|blogging))?)?",
-    r"(?:your |the )?(?:answer|question|text|content|title|description|post)s? (?:text )?(?:goes|comes) here",
-    r"(?:enter|insert|add|type|write|put) (?:your |the )?(?:question|answer|post|body|title|content)? ?(?:text|here|description)(?: here)?",
-    r"(?:body |more )?(?:text|content|copy) (?:to be supplied|to follow|coming soon|will follow|follows)(?: shortly| soon)?",
-    r"text for section \d+ comes here",
-    r"(?:tbd|tba|tbc|todo)(?: ?[-–:] ?(?:content to follow|text to follow|content|text))?",
-    r"(?:description|text|content|answer) not yet (?:written|available)",
-    r"(?:dummy|filler|placeholder|mock) (?:text|content|copy)(?: for layout only)?|placeholder",
-    r"write something useful in this box(?: \(min\.? ?\d+ characters\))?",
-    r"\[(?:todo|tbd|fixme)\b[^\]]*\]|\[(?:answer|question|text|content|body|title|description|placeholder|your [\w ]+)\]",
-    r"hier steht bald (?:ihr|dein) text|text folgt(?: in kürze)?|inhalt folgt(?: in kürze)?|platzhalter(?:text)?",
-    r"(?:texte|contenu) (?:à venir|suivra)|(?:contenido|texto) (?:pendiente|por venir)|(?:conteúdo|texto) (?:em breve|a seguir|pendente)|próximamente",
-    r"準備中(?:です)?|工事中(?:です)?|ここに(?:本文|テキスト|文章)が入ります",
-]
-# Units that come with residue but do not tell it.
-AROUND = [
-    r"home \| questions \| tags \| log ?in|(?:home|start|questions|tags|users|about|help|log ?in|sign up)(?: ?\| ?(?:home|start|questions|tags|users|about|help|log ?in|sign up))+",
-    r"[\w ]{1,40} ?[–-] ?questions and answers",
-    r"^[\w .\-]{1,40} ={3,}",
-    r"(?:request id|ref|ray|ray id|reference|error code|error id|id)[ :#]*[0-9a-f]{5,}|content-length: \d+|\([0-9a-f]{5,}\)|[0-9a-f]{8,}\b",
-    rf"{_SERVER}/\d[\w.\-]*(?: \([\w ./\-]+\))?(?: [a-z_\-]+/[\w.\-]+)*(?: server at \S+ port \d+)?|(?:faithfully yours, )?{_SERVER}[.]?$",
-    r"loading|please wait|error\b|sorry\b|back to (?:the )?(?:start|home) ?page|go back|reload(?: the page)?",
+    rf"\b(?:sample|dummy|filler|placeholder|mock|example) {_COPY}\b|\bplaceholder\b",
+    rf"\b{_COPY}\b.*\b(?:to (?:follow|be (?:supplied|added|replaced|written|provided))|(?:goes|comes|will go) here|coming soon|will follow|follows|not yet (?:written|available)|pending)\b",
+    rf"\b(?:enter|insert|add|type|write|put)\b.*\b(?:here|in (?:this|the) (?:box|field|area))\b|^\W*(?:enter|insert|add|type|write|put) (?:your |the |a |some )?(?:{_COPY} )?{_COPY}\W*$",
+    r"\bto be (?:replaced|announced|defined|written)\b|\breplace before publishing\b|\b(?:tbd|tba|tbc|todo|fixme)\b|^\[[\w ]*\]$",
+    r"\b(?:text|inhalt) folgt\b|\bhier (?:steht|kommt)\b.*\btext\b|\bplatzhalter\b|\btexte à venir|\b(?:texte|contenu) (?:à venir|suivra)|\b(?:contenido|texto) (?:pendiente|por venir)|\b(?:conteúdo|texto) (?:em breve|a seguir|pendente)|\bpróximamente",
+    r"(?:準備中|工事中)|ここに.*が入ります",
 ]
+# The words in which sites talk about themselves, and the small words between them.
+VOCABULARY = set(
+    """a an the this that these those it its it's you you're your yours our we're of in on at for by with without from to and or but not no nor is are
+was were be been being has have had may might must need needs can can't cannot could couldn't will won't would do does did don't doesn't didn't please
+kindly sorry oops well isn't aren't wasn't weren't hasn't haven't we'll we've i'm that's there's about below above long right if us which whose once we so then than too only first again later soon now here there out up down off over back few some something nothing anything
+everything all any more longer yet still already before another other just one moment minute minutes second seconds hour hours ms time times as s
+home start page pages site website web forum thread threads question questions answer answers comment comments post posts content contents text full
+article articles topic board community app application document file resource url link address server host node cache database proxy gateway upstream
+connection request requests requested response session cookie cookies browser domain setting settings script scripts scripting javascript java js client
+side client-side permission permissions access account service system network error errors code status message id ref reference ray incident operator
+operators administrator administrators admin owner team staff support end tags users about help login log logged sign search line
+found exist exists removed deleted moved renamed changed name unavailable available denied forbidden unauthorized expired timed timeout failed fail fails
+went wrong reached reach reachable unreachable displayed display shown show loaded loading load built rendered render rendering open opened view viewing
+see read reading use connect connected connecting establish establishing handle handled process processed complete completed unable able encountered
+occurred received invalid internal unexpected temporarily temporary scheduled maintenance upkeep offline busy overloaded lost closed locked blocked
+blocks block limit exceeded many slow wait try retry refresh reload return took come go continue told notified informed alerted looking asked followed leads
+nowhere lack lacks technical difficulties problem problems awkward template raised got given misconfiguration condition unknown rate while trying
+directory apologize inconvenience report reported respond responding responded contact information details logs mistyped typed incorrect bad gateway mistake existing issue issues
+traffic heavy currently undergoing performing improve improving fix fixing working on it's refused rejected too large small ip security policy reason
+enable enabled enables disable disabled allow allowed allows activate activated turn turned turns switch switched permit unblock required requires require
+supported work works working properly run runs running started check checks checking verify verifying confirm human robot bot secure security automatic
+automatically takes take hold ensure make sure completing complete action continue proceed enter order blocker old older modern seems
+sample dummy filler placeholder mock example copy heading item paragraph section title body description replaced replace supplied added follow follows
+coming comes goes written write writing type insert add put useful box min max characters layout edit delete publishing tbd tba tbc todo fixme pending
+und oder die der das den dem ein eine einen ist sind nicht mehr es gibt diese dieser seite seiten server fehler konnte wurde vorübergehend erreichbar
+gefunden verfügbar wartungsarbeiten wartung bitte aktivieren sie javascript um zu sehen antworten für muss eingeschaltet aktiviert sein deaktiviert nutzen verwenden angeforderte gewünschte leider später erneut versuchen wird gewartet
+ausgeschaltet benötigt braucht hier steht bald ihr dein text texte folgt kürze inhalt platzhalter interner serverfehler zugriff verweigert ihre sitzung
+abgelaufen angezeigt werden
+le la les demandée recherchée l'exécution de des du d'un une un cette ce page pages serveur n'a pas pu traiter demande introuvable trouvée non n'existe plus veuillez activer
+pour afficher exige nécessite est désactivé votre navigateur session expiré erreur interne accès refusé interdit à venir contenu suivra service
+indisponible réponses lire
+el los las que busca buscada no se encontró encontrada encontrado página solicitada solicitado existe activa active javascript para ver esta este necesita requiere por
+favor su sesión ha caducado error interno del acceso denegado servidor pudo procesar solicitud contenido pendiente texto próximamente está disponible
+a o os as é não foi pôde conseguiu preciso ligar ler respostas habilite habilita ative sua sessão expirou erro acesso negado conteúdo em breve seguir
+pendente
+pagina non trovata esiste niet gevonden servizio attivare attiva abilitare il inschakelen schakel""".split()
+)
+# Words of someone who tells or asks.
+TELLING_PERSON = set("i i'm i've me my mine us why how when whenever since because although who ich mein mir je mon nous yo mi eu meu noi".split())
 
 
-def _units(patterns: list[str]) -> regex.Pattern:
-    return regex.compile("(?:" + "|".join(f"(?:{p})" for p in patterns) + ")" + _END, regex.V1)
+def _any(patterns: list[str]) -> regex.Pattern:
+    return regex.compile("|".join(f"(?:{p})" for p in patterns), regex.V1)
 
 
-_TELLING = [(kind, _units(p)) for kind, p in (("error", ERRORS), ("notice", NOTICES), ("filler", FILLER))]
-_AROUND = _units(AROUND)
-_ONE_WORD_REASON = _units([f"(?:{_REASON})\\b"])
-_GAP = regex.compile(r"[\s.!…。、:;,|*_=#>\-–—\"'()]*")
+_SIGNS = [(kind, _any(p)) for kind, p in (("notice", NOTICES), ("filler", FILLER), ("error", ERRORS))]
+VOCABULARY.update(w for s in HTTPStatus if s >= 400 for w in s.phrase.lower().replace("'", " ").split())
+_NOTES, _PRINTED, _FURNITURE = _any(NOTES), _any(PRINTED), _any(AROUND)
+_ONE_WORD_REASON = regex.compile(rf"[\W]*(?:error\W+)?(?:{_REASON})\W*", regex.V1)
+_TOKEN = regex.compile(r"[\p{L}\p{M}]+(?:['\-][\p{L}\p{M}]+)*|\d+")
+_FOREIGN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_SENTENCE, _SPEECH, _PROGRAM = re.compile(r"[。！!.]"), re.compile(r"[?？\"«„“「]"), re.compile(r"\{|traceback| on line ")
+#: One word in so many may be no word of the vocabulary.
+UNKNOWN_ONE_IN = 14
+#: So many words beyond the vocabulary at most are in what stands around residue (titles, paths, ids).
+TAKEN_OFF = 8
 
-# The standard passage, further words of mock Latin and of its generators, and words that tell it from real Latin.
+# The standard passage, further words of mock Latin and of its generators, and frequent words that tell it from real languages.
 PASSAGE = """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim
 ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit
 in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia
@@ -170,8 +189,9 @@ neque netus nibh nisl nulla nullam nunc odio orci ornare pellentesque pharetra p
 praesent pretium primis proin pulvinar purus quam quisque rhoncus risus rutrum sagittis sapien scelerisque sem semper senectus sodales
 sollicitudin suscipit suspendisse tellus tempus tincidunt tortor tristique turpis ultrices ultricies urna ut varius vehicula vel venenatis
 vestibulum vitae vivamus viverra volutpat vulputate"""
-MOCK = set(f"{PASSAGE} {GENERATED} lorem ipsum dolor sit amet elit elitra tempor tempora magna magnur aliqua minim minute veniam vestra quis quilla nostrud nostrad ullamco ullis labore dolore consectetur consimo adipiscing adirem sed sedano eiusmod incididunt velit velat esse cillum captis corpis ferrum landem noctua plenis pleni arvo verbis in non et ut".split())
-CLASSIC = set("lorem ipsum dolor amet elitra magnur quilla consimo tempora velat ullis sedano adirem landem plenis captis corpis consectetur adipiscing eiusmod incididunt nostrud ullamco aliquip irure reprehenderit cillum fugiat pariatur excepteur occaecat cupidatat proident deserunt mollit laborum consectetuer vestibulum pellentesque curabitur suspendisse".split())
+MOCK = set(f"{PASSAGE} {GENERATED}".split())
+#: Words of the passage that no living language has.
+CLASSIC = {w for w in PASSAGE.split() if len(w) > 3} - set("anim enim esse irure nisi nulla quis sint sunt minim magna velit elit labore tempor culpa fugiat officia".split())
 # Frequent words of real posts that mock Latin lacks, and endings of Latin.
 FREQUENT = set(
     """the and is are was were be been to of for with that this these those it its on as by from or not but have has had you your we our they he she
@@ -182,7 +202,11 @@ el los las una y por para con del al se lo como pero más cuando este esta o os
 della sono""".split()
 ) - MOCK
 _WORD = re.compile(r"\w+")
-_LATIN_END = re.compile(r"[a-z]*(?:us|um|is|it|at|et|nt|ur|ae|am|em|que|tis|ntes|i)")
+# Endings of Latin words, and small words of Latin.
+_LATIN_END = re.compile(r"[a-z]*(?:[aeio]|us|um|is|as|es|os|in|am|em|at|et|it|ut|nt|ur|non|or|ad)")
+PARTICLES = {"et", "in", "non", "sit", "ut", "ad", "ac", "nec", "ex"}
+#: Mock text of these words and more may hold any words beside those of the passage, of which one in so many must be; and how many words must end like Latin.
+MOCK_WORDS, CLASSIC_ONE_IN, LATIN_WORDS = 12, 20, 8
 
 
 def visible(text: str) -> str:
@@ -223,16 +247,51 @@ def _over_and_over(words: str) -> bool:
 
 
 def _mock_latin(words: str) -> bool:
-    """Words of mock Latin without the frequent words of real languages. Of a longer text less than half may be words that only look Latin."""
-    if sum(c in words for c in CLASSIC) < 2:
-        return False
+    """Mock Latin, of known or invented words, without the frequent words of real languages.
+
+    A short text holds hardly any words but known ones. A longer one holds enough words of the passage, or small words of
+    Latin and hardly any that don't end like Latin.
+    """
     tokens = [t for t in _WORD.findall(words) if not t.isdigit()]
-    n, real = len(tokens), sum(t in FREQUENT or not t.isascii() for t in tokens)
-    if n < 3 or real > 0.01 * n or len(CLASSIC.intersection(tokens)) < 2:
+    n = len(tokens)
+    if n < 3 or sum(t in FREQUENT or not t.isascii() for t in tokens) > 0.01 * n:
         return False
-    known = sum(t in MOCK for t in tokens)
-    latin = known + sum(t not in MOCK and _LATIN_END.fullmatch(t) is not None for t in tokens)
-    return known >= 0.85 * n or n >= 12 and known > 0.5 * n and latin >= 0.85 * n
+    classic, known = sum(t in CLASSIC for t in tokens), sum(t in MOCK for t in tokens)
+    if len(CLASSIC.intersection(tokens)) >= 2 and (known >= 0.85 * n or n >= MOCK_WORDS and classic * CLASSIC_ONE_IN >= n):
+        return True
+    return n >= LATIN_WORDS and not PARTICLES.isdisjoint(tokens) and sum(_LATIN_END.fullmatch(t) is not None for t in tokens) >= 0.85 * n
+
+
+def _strange(words: str) -> bool:
+    """Whether a text has too many words beyond the vocabulary, or someone tells or asks in it."""
+    unknown = n = 0
+    for m in _TOKEN.finditer(words):
+        token = m.group()
+        n += 1
+        if token not in VOCABULARY and not token.isdigit():
+            if token in TELLING_PERSON:
+                return True
+            unknown += 1
+    return unknown > n // UNKNOWN_ONE_IN
+
+
+def once(words: str) -> str:
+    """A text that is the same text over and over, once."""
+    unit = f"{words} "
+    return unit[: (unit + unit).find(unit, 1) - 1]
+
+
+def _of_its_own(words: str) -> bool:
+    """Whether someone tells or asks, or more words are of a subject of its own than can be taken off; a program's output is told by its signs."""
+    tokens = [t for t in words.split(" ") if t[0].isalpha()]
+    if not TELLING_PERSON.isdisjoint(tokens):
+        return True
+    unknown = sum(t not in VOCABULARY and t.rstrip(".,:;!…)") not in VOCABULARY for t in tokens)
+    return unknown > len(tokens) // UNKNOWN_ONE_IN + TAKEN_OFF and not _PROGRAM.search(words)
+
+
+def _sign(words: str) -> str | None:
+    return next((kind for kind, signs in _SIGNS if signs.search(words)), None)
 
 
 def whole_residue(words: str) -> str | None:
@@ -241,22 +300,18 @@ def whole_residue(words: str) -> str | None:
         return None
     if _over_and_over(words) or _mock_latin(words):
         return "filler"
-    at, found, n, reason = _GAP.match(words).end(), None, 0, False
-    while at < len(words):
-        best, kind = at, None
-        for name, units in _TELLING:
-            m = units.match(words, at)
-            if m and m.end() > best:
-                best, kind = m.end(), name
-        m = _AROUND.match(words, at)
-        if m and m.end() > best:
-            best, kind = m.end(), None
-        m = _ONE_WORD_REASON.match(words, at)
-        if m and m.end() > best:
-            best, kind, reason = m.end(), None, True
-        if best == at or best < len(words) and words[best - 1].isalnum() and words[best].isalnum():
-            return None
-        found, n = found or kind, n + 1
-        at = _GAP.match(words, best).end()
-    # A single word such as "gone" tells an error only beside other units.
-    return found or ("error" if reason and n > 1 else None)
+    words = once(words)
+    if _of_its_own(words):
+        return None
+    rest, notes = _NOTES.subn(" ", words)
+    rest, printed = _PRINTED.subn(" ", rest)
+    rest, around = _FURNITURE.subn(" ", rest)
+    if _SPEECH.search(rest):
+        return None
+    if _FOREIGN.search(rest):
+        kinds = [_sign(part) for part in _SENTENCE.split(rest) if _TOKEN.search(part)]
+        return kinds[0] if all(kinds) else None
+    # A single word such as "gone" tells an error only beside other pieces.
+    if around and _ONE_WORD_REASON.fullmatch(rest):
+        return "error"
+    return None if _strange(rest) else _sign(rest) or ("filler" if notes else "error" if printed else None)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import queries, residue
-from loomspan.llm.residue import SIMILARITY, jaccard, read_rules, simhashes, template
+from loomspan.llm.residue import SIMILARITY, jaccard, read_rules, signatures, template
 
 PLACEHOLDERS = ["Hi {{ first_name }},\n\nreal text here", "Posted by {% block user %} today", "<%= date %>", "See #{title}", "${ticket.id}", "Dear {company}", "[[link]]", "<< user >>", "%(link)s", "%%user%%", "@@title@@", "##date##", "$product$", "__link__TODO__", "<INSERT name>", "[INSERT name HERE]", "[Your name here]", "[Name einfügen]"]
 FILLER = ["Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "TBD", "tbd - content to follow", "xxx xxx xxx", "foo bar foo bar foo bar", "----------", "Heading 1: sample text to be replaced\nItem 2: sample copy to be replaced", "Text folgt in Kürze.", "[answer]", "Your answer goes here…"]
@@ -22,9 +22,9 @@ def test_simhash_of_near_texts():
     words = [f"w{i}" for i in range(60)]
     near = words[:57] + ["a", "b", "c"]
     texts = [" ".join(w) for w in (words, words, near, [f"v{i}" for i in range(60)], ["one"])]
-    hashes, n = simhashes(texts)
-    distance = lambda i, j: bin((int(hashes[i]) ^ int(hashes[j])) & (1 << 64) - 1).count("1")
-    assert hashes[0] == hashes[1] and list(n) == [56, 56, 56, 56, 1]
+    hashes, n, _ = signatures(texts)
+    distance = lambda i, j: sum(bin((int(a) ^ int(b)) & (1 << 64) - 1).count("1") for a, b in zip(hashes[i], hashes[j]))
+    assert distance(0, 1) == 0 and list(n) == [56, 56, 56, 56, 1]
     assert jaccard(texts[0], texts[2]) >= SIMILARITY and distance(0, 2) <= residue.MAX_HAMMING < distance(0, 3)
 
 
@@ -48,14 +48,12 @@ def test_labels_spread_through_components(spark):
 def test_near_duplicates_are_found_through_the_tables(spark, monkeypatch, broadcast):
     monkeypatch.setattr(residue, "BROADCAST_ROWS", broadcast)
     notice = "please enable javascript in your browser settings " + " ".join(f"{chr(97 + i)}ord" for i in range(26))
-    monkeypatch.setattr(residue.rules, "whole_residue", lambda w: "notice" if w == notice else None)
-    features = residue.features(spark.createDataFrame([(1, notice)], "doc_id long, text string"), "doc_id", "text")
-    assert features.head().n == 29
-    docs = [(1, notice), (2, notice + " extra"), (3, "first " + notice + " extra"), (4, "another text " * 20)]
+    docs = [(1, notice), (2, notice + " extra"), (3, "first " + notice + " extra"), (4, " ".join(f"other{chr(97 + i)}" for i in range(26))), (5, "too short"), (6, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    read = spark.createDataFrame([(r.doc_id, r["class"], r.n, r.simhash, r.doc_id) for r in residue.features(df, "doc_id", "text").collect()], "doc_id long, class binary, n int, simhash long, rep long")
-    near = residue._near(read.where("doc_id = 1"), read.where("doc_id <> 1"), df)
-    assert {r.rep for r in near.collect()} == {d for d, t in docs[1:] if jaccard(template(read_rules(notice)[1]), template(read_rules(t)[1])) >= SIMILARITY}
+    read = residue.features(df, "doc_id", "text").withColumnRenamed("doc_id", "rep").withColumn("kind", F.lit("notice")).cache()
+    assert read.where("rep = 1").head().n == 29
+    found = {tuple(r) for r in residue.near(read.where("rep = 1"), read.where("rep <> 1").drop("kind"), df).collect()}
+    assert found == {(d, "notice") for d, t in docs if d != 1 and t and jaccard(notice, t) >= SIMILARITY} and len(found) == 2
 
 
 def test_placeholder_copies_are_not_spread(spark):
@@ -77,20 +75,39 @@ def test_very_long_text(spark):
     assert {r.doc_id for r in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 3}
 
 
-def test_all_pairs_at_the_required_similarity_are_found(spark):
-    """Texts and their copies with a changed end, down to the very similarity; the tables alone lose some of them."""
-    rng = random.Random(5)
+def planted(rng, words, n):
+    """Pairs of a text of so many random words and a copy with one to four words changed or added, of similarity 0.8 to below 1."""
     word = lambda: "".join(rng.choices("abcdefghij", k=9))
-    rows = []
-    for k in range(150):
-        base = [word() for _ in range(rng.choice([13, 49, 94, 184]))]
-        copies = [" ".join(base[:cut] + [word() for _ in base[cut:]]) for cut in range(len(base), 0, -1)]
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, [c for c in copies if jaccard(" ".join(base), c) >= SIMILARITY][-1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    read = residue.features(df, "doc_id", "text").withColumn("rep", F.col("doc_id"))
-    bases, copies = read.where("doc_id % 2 = 0"), read.where("doc_id % 2 = 1")
-    assert len({r.rep for r in residue._near(bases.drop("prefix"), copies, df).collect()}) < 150
-    assert {r.rep for r in residue._near(bases, copies, df).collect()} == {2 * k + 1 for k in range(150)}
+    out = []
+    while len(out) < n:
+        base = [word() for _ in range(words)]
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.choice([0, len(copy), rng.randrange(len(copy))])
+            copy[at : at + rng.randint(0, 1)] = [word()]
+        if SIMILARITY <= jaccard(" ".join(base), " ".join(copy)) < 1:
+            out.append((" ".join(base), " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize(("words", "by_tables"), [(8, 0.8), (12, 0.9), (20, 0.9), (40, 0.9), (150, 0.9)])
+def test_recall_by_length(spark, words, by_tables):
+    """All planted near-duplicates are found; the tables alone find nine in ten of texts of twelve words and more."""
+    pairs = planted(random.Random(words), words, 300)
+    docs = [(2 * k + side, t) for k, pair in enumerate(pairs) for side, t in enumerate(pair)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    read = residue.features(df, "doc_id", "text").withColumn("rep", F.col("doc_id")).withColumn("kind", F.lit("error")).cache()
+    bases, copies = read.where("doc_id % 2 = 0"), read.where("doc_id % 2 = 1").drop("kind")
+    assert {r.rep for r in residue.near(bases, copies, df).collect()} == {2 * k + 1 for k in range(300)}
+    met = residue.by_tables(bases, copies).collect()
+    assert len(met) == len(set(met))
+    assert len({r.b_rep for r in met if r.b_rep == r.a_rep + 1}) >= by_tables * 300
+
+
+def test_tables_grow_with_the_frontier():
+    sizes = [residue.table_sizes(n) for n in (0, 1, 250, 10**4, 10**6, 10**9)]
+    assert [b for b, _ in sizes] == [8, 8, 10, 16, 22, 32]
+    assert all(1 - (1 - residue.AGREE**b) ** t >= residue.RECALL for b, t in sizes)
 
 
 LOREM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum."
@@ -123,3 +140,19 @@ def test_server_pages_and_long_placeholders(kind, texts):
 @pytest.mark.parametrize("text", ["{{ a", "[INSERT ", "[Your ", "[x ", "[insérer ", "[Your" + " " * 99])
 def test_unclosed_placeholders_end(text):
     assert read_rules(text * 20_000)[0] is None
+
+
+# Texts that had no part in making the rules.
+UNSEEN = {
+    "error": ["This page could not be loaded. Please refresh the browser.", "Sorry! The article you requested has been removed.", "502 - Web server received an invalid response while acting as a gateway or proxy server.", "The connection to the server was reset while the page was loading.", "Le serveur est indisponible. Veuillez réessayer plus tard.", "This account is unavailable.", "Your session has timed out, please log in again."],
+    "notice": ["JavaScript must be enabled to view these comments.", "Activate scripts to load this thread.", "Your browser does not support JavaScript.", "Scripts are blocked on this page. Allow them and refresh.", "Checking your connection, please wait a moment.", "Esta aplicación necesita JavaScript para funcionar."],
+    "filler": ["Your content goes here.", "Sample page. Replace this text.", "Type your answer here", "Dummy content, to be replaced later", "lorem ipsum dolor sit amet lorem ipsum dolor sit amet"],
+    None: ["Add the zone column here and run the skim step.", "The page table is full, so raise the limit of the pool.", "It needs the network file, not the matrix.", "JavaScript is used for the map layer of our viewer.", "We removed the link in the last release.", "Enable the flag and compare the two runs.", "The timeout is 30 s by default."],
+}
+
+
+def test_rules_on_unseen_texts():
+    """Seven of ten residue texts are told, with their kind; no real text is taken for residue."""
+    told = [(kind, read_rules(t)[0]) for kind, texts in UNSEEN.items() if kind for t in texts]
+    assert sum(a == b for a, b in told) >= 0.7 * len(told)
+    assert {read_rules(t)[0] for t in UNSEEN[None]} == {None}
