@@ -20,9 +20,11 @@ SPELLINGS = {
     "json": ["json"],
     "null": ["null"],
 }
-SPARK_TYPES = {"integer": "bigint", "float": "double", "string": "string", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "json": "string", "null": "string"}
+SPARK_TYPES = {"integer": "bigint", "float": "double", "string": "string", "boolean": "boolean", "date": "date", "timestamp": "timestamp_ntz", "json": "string", "null": "string", "number": "string"}
 
 NUMBER = "decimal(38,10)"
+#: A number as it is written.
+NUMERAL = r"\A[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\z"
 
 
 def named_type(col: Column | str) -> Column:
@@ -59,5 +61,27 @@ def plain_number(number: Column, decimals: int = 4) -> Column:
     return F.when(F.round(number, decimals) == 0, "0").otherwise(short)
 
 
+def plain_double(number: Column, decimals: int | None = None) -> Column:
+    """A finite double in plain notation, rounded to ``decimals`` or with all that its shortest text has; very small ones keep their exponent then."""
+    huge = F.when(number.isNotNull(), F.format_string("%.0f", number))
+    if decimals is not None:
+        return F.when(F.abs(number) < 1e27, plain_number(number.cast("string").try_cast(NUMBER), decimals)).otherwise(huge)
+    text = number.cast("string")
+    return F.when(number == 0, "0").when((number == F.floor(number)) & (F.abs(number) < 1e18), number.cast("long").cast("string")).when(F.abs(number) >= 1e18, huge).otherwise(text)
+
+
+def whole_number(text: Column, number: Column) -> Column:
+    """The digits of a whole number: of ``text`` where it is written in digits, else of the double ``number`` below 1e38; null if it isn't whole."""
+    digits = F.regexp_replace(F.regexp_replace(text, r"^\+|\.0*$", ""), r"^(-?)0+(?=\d)", "$1")
+    written = F.when(digits == "-0", "0").otherwise(digits)
+    return F.when(text.rlike(r"\A[+-]?\d+(?:\.0*)?\z"), written).when((number == F.floor(number)) & (F.abs(number) < 1e38), number.cast("decimal(38,0)").cast("string"))
+
+
+def number_text(text: Column) -> Column:
+    """One spelling of a number however written: digits if it is whole, else the text of its double; other text is marked as such."""
+    number = F.when(text.rlike(NUMERAL), text.try_cast("double"))
+    return F.coalesce(whole_number(text, number), F.when(F.abs(number) < float("inf"), number.cast("string")), F.concat(F.lit("text:"), text))
+
+
 def widest(names: list[str]) -> str:
     return reduce(lambda a, b: promote({a, b}), names)

@@ -18,9 +18,6 @@ from pyspark.sql.window import Window
 
 from loomspan.session import scan_bytes, shuffle_partitions, stage
 
-_NULL = "\x00"
-
-
 @dataclass(frozen=True)
 class Copy:
     """One copy: rows with a text key, text fields, and the columns whose greatest values make a row the current one.
@@ -34,7 +31,9 @@ class Copy:
 
 
 def _hashes(fields: Sequence[str]) -> list[Column]:
-    full = [F.coalesce(F.col(f), F.lit(_NULL)) for f in fields]
+    """Two hashes of a row; which fields are null goes in beside the values, as hashes skip nulls."""
+    nulls = F.concat(*(F.when(F.col(f).isNull(), "1").otherwise("0") for f in fields))
+    full = [nulls, *(F.coalesce(F.col(f), F.lit("")) for f in fields)]
     return [F.xxhash64(*full).alias("_h1"), F.xxhash64(F.lit("second"), *full).alias("_h2")]
 
 

@@ -63,7 +63,7 @@ def _placed(level: int, buckets: int, heavy: list) -> Column:
     return F.pmod(F.xxhash64(F.when(with_parent, F.col("exit")).otherwise(F.col("node"))), F.lit(buckets))
 
 
-def ancestor_paths(edges: DataFrame, base_rows: int = BASE_ROWS, min_heavy: int = 10_000) -> DataFrame:
+def ancestor_paths(edges: DataFrame, base_rows: int = BASE_ROWS, min_heavy: int = 2) -> DataFrame:
     """(node, path, cyclic) for ``edges`` (node, parent), one row per node; path lists the ancestors, nearest first.
 
     A parent that is no node ends the path and isn't listed. On and below a cycle the path ends before it would repeat;

@@ -52,7 +52,7 @@ def _scalar_state(value) -> str:
     if isinstance(value, bool):
         return "boolean"
     if isinstance(value, int):
-        return "integer"
+        return "integer" if -(1 << 63) <= value < 1 << 63 else "number"
     return "float" if isinstance(value, float) else "string"
 
 
@@ -190,7 +190,8 @@ def member_kinds(objects: DataFrame, list_name: str, lists: list[str]) -> dict[s
 def typed_table(objects: DataFrame, list_name: str, kinds: dict[str, set[str]]) -> DataFrame:
     """The typed table of one list: doc_id, path, parent_path, position, variant and a column ``m_<member>`` per member.
 
-    A column's type is the least one that holds all ``kinds`` of the member; nested members are JSON text. A value that
+    A column's type is the least one that holds all ``kinds`` of the member; nested members are JSON text, and so are
+    the integers of a member with some beyond 64 bits. A value that
     can't be read in its column's type is null.
     """
     columns = [F.col("members")[n].try_cast(SPARK_TYPES[promote(k)]).alias(f"m_{n}") for n, k in sorted(kinds.items())]

@@ -1,9 +1,10 @@
 """References to records that do not exist, were purged, or arrived after the reference.
 
-References are reduced to one row per (holder, target) and then to one row per (target, period). Targets that hold more
-than 1/1000 of all references are heavy: their status goes out by broadcast (at most 1000 rows) and their references are
-never shuffled by target. The other (target, period) rows meet the status table in a shuffle join; only references whose
-(target, period) came out as an orphan are joined back. Both parts are united.
+References are reduced to one row per (holder, target) and then to one row per (target, period). Targets whose
+references fill more than a quarter of a shuffle partition are heavy: their status goes out by broadcast (at most 1000
+rows) and their references are never shuffled by target. The other (target, period) rows meet the records in a shuffle
+anti-join, which leaves those of which some reference is an orphan; only these get their status and are joined back to
+their references. Both parts are united.
 """
 
 from __future__ import annotations
@@ -36,18 +37,21 @@ def _status(rows: DataFrame, purges: DataFrame) -> DataFrame:
     return seen.unionByName(gone).groupBy("target").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.sum("row").alias("n_rows"), F.max("purged").alias("purged_at"))
 
 
+def _deleted() -> Column:
+    rows = F.coalesce("n_rows", F.lit(0))
+    return F.col("purged_at").isNotNull() & ((rows == 0) | F.coalesce(F.col("purged_at") > F.col("last_at"), F.lit(False)))
+
+
 def _kind(at: str) -> Column:
     """The case of a reference first held at ``at``; null if there is none."""
-    rows = F.coalesce("n_rows", F.lit(0))
-    deleted = F.col("purged_at").isNotNull() & ((rows == 0) | (F.col("purged_at") > F.col("last_at")))
-    return F.when(deleted, "deleted").when(rows == 0, "missing").when(F.col("first_at") > F.col(at), "late")
+    return F.when(_deleted(), "deleted").when(F.coalesce("n_rows", F.lit(0)) == 0, "missing").when(F.col("first_at") > F.col(at), "late")
 
 
 def _period(at: str) -> Column:
     return F.coalesce(F.date_format(at, "yyyy-MM"), F.lit(""))
 
 
-def orphan_references(refs: DataFrame, rows: DataFrame, purges: DataFrame, min_heavy: int = 10_000) -> DataFrame:
+def orphan_references(refs: DataFrame, rows: DataFrame, purges: DataFrame, min_heavy: int = 2) -> DataFrame:
     """Rows (table_name, ref_field, holder_id, target, kind, period), one per distinct reference with a case.
 
     ``refs`` comes from :func:`pointers`, ``rows`` and ``purges`` from :func:`records`. References without a target are
@@ -59,7 +63,10 @@ def orphan_references(refs: DataFrame, rows: DataFrame, purges: DataFrame, min_h
     heavy = heavy_keys(keys, "target", "n", min_rows=min_heavy)
     status = _status(rows, purges)
     parts = []
-    light_keys = keys.where(~is_heavy("target", heavy)).join(status, "target", "left").where(_kind("since").isNotNull()).drop("n", "since")
+    there = status.where((F.col("n_rows") > 0) & ~_deleted()).select(F.col("target").alias("_target"), "first_at")
+    in_time = (F.col("target") == F.col("_target")) & ~F.coalesce(F.col("first_at") > F.col("since"), F.lit(False))
+    orphans = keys.where(~is_heavy("target", heavy)).join(there, in_time, "left_anti")
+    light_keys = orphans.join(status, "target", "left").drop("n", "since")
     parts.append(held.where(~is_heavy("target", heavy)).join(light_keys, ["target", "period"]))
     if heavy:
         few = F.broadcast(status.where(is_heavy("target", heavy)))

@@ -7,16 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.session import shuffle_partitions
+
 #: At most so many keys are ever treated as heavy, whatever the size of the data; broadcasts of heavy keys are bounded by it.
 MAX_HEAVY = 1000
-MIN_HEAVY_ROWS = 10_000
+#: A key is heavy if it fills more than this part of an average shuffle partition.
+PARTS_OF_PARTITION = 4
 
 
-def heavy_keys(counts: DataFrame, key: str, n: str, max_heavy: int = MAX_HEAVY, min_rows: int = MIN_HEAVY_ROWS) -> list:
+def heavy_keys(counts: DataFrame, key: str, n: str, max_heavy: int | None = None, min_rows: int = 2) -> list:
     """The keys whose rows exceed 1/``max_heavy`` of all rows (and ``min_rows``): at most ``max_heavy`` of them.
 
-    ``counts`` has rows (key, n), several per key allowed. Null keys are never heavy.
+    By default those that fill more than a quarter of an average shuffle partition, and MAX_HEAVY at most. ``counts``
+    has rows (key, n), several per key allowed. Null keys are never heavy.
     """
+    max_heavy = max_heavy or min(MAX_HEAVY, PARTS_OF_PARTITION * shuffle_partitions(counts.sparkSession))
     per_key = counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("_n"))
     total = counts.agg(F.sum(n)).first()[0] or 0
     threshold = max(min_rows, total // max_heavy + 1)

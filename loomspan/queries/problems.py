@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import ids
+from loomspan.functions.types import number_text
 from loomspan.operators import drift, eav, hierarchy, nested, orphans, profile
 from loomspan.operators.copydiff import Copy, diff_copies
 from loomspan.queries.problem_sql import SQL as SQL
@@ -17,13 +18,6 @@ RUN_TIMES = ["started_at", "ended_at"]
 RUN_FIELDS = ["parent_run_id", *RUN_TEXT, *RUN_NUMBERS, *RUN_TIMES, "tags"]
 
 
-def _number(text):
-    """Numbers in one spelling; other text marked as such."""
-    number = F.expr(f"try_cast({text} AS DECIMAL(38, 10))") if isinstance(text, str) else text.try_cast("decimal(38,10)")
-    source = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(F.regexp_replace(number.cast("string"), r"\.?0+$", ""), F.concat(F.lit("text:"), source))
-
-
 def _run_copy(spark: SparkSession, folder: str) -> Copy:
     run = read_table(spark, folder, "run")
     return Copy(
@@ -31,7 +25,7 @@ def _run_copy(spark: SparkSession, folder: str) -> Copy:
             ids.run_id("id").alias("run_id"),
             ids.run_id("parent_run_id").alias("parent_run_id"),
             *RUN_TEXT,
-            *(_number(F.col(c).cast("string")).alias(c) for c in RUN_NUMBERS),
+            *(number_text(F.col(c).cast("string")).alias(c) for c in RUN_NUMBERS),
             *(F.unix_micros(F.col(c).cast("timestamp")).cast("string").alias(c) for c in RUN_TIMES),
             F.to_json(F.struct(F.array_sort(F.array_distinct("tags")).alias("t"))).alias("tags"),
             "updated_at",
@@ -62,7 +56,7 @@ def _snapshot_copy(spark: SparkSession, folder: str) -> Copy:
             ids.run_id(text("id")).alias("run_id"),
             ids.run_id(text("parent_run_id")).alias("parent_run_id"),
             *(text(c).alias(c) for c in RUN_TEXT),
-            *(_number(ids.strip(text(c))).alias(c) for c in RUN_NUMBERS),
+            *(number_text(ids.strip(text(c))).alias(c) for c in RUN_NUMBERS),
             *(instant(c).alias(c) for c in RUN_TIMES),
             F.coalesce(F.to_json(F.struct(F.array_sort(F.array_distinct(tags)).alias("t"))), text("tags")).alias("tags"),
             "written_at",
@@ -150,16 +144,16 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(_tree_paths(spark, folder)).select(_tree("node"), _id("node").alias("node_id"), "n_descendants", "max_steps")
 
 
-def _kv(spark: SparkSession, folder: str, entity: str) -> DataFrame:
+def _kv(spark: SparkSession, folder: str, entity: str, decimals: int | None = None) -> DataFrame:
     prepare(spark)
     if entity == "run":
-        return eav.current_values(read_table(spark, folder, "run_config_kv"), ids.run_id("run_id"), F.col("key"))
-    return eav.current_values(read_table(spark, folder, "artifact_kv"), ids.artifact_id("artifact_id"), F.col("key_path"))
+        return eav.current_values(read_table(spark, folder, "run_config_kv"), ids.run_id("run_id"), F.col("key"), decimals=decimals)
+    return eav.current_values(read_table(spark, folder, "artifact_kv"), ids.artifact_id("artifact_id"), F.col("key_path"), decimals=decimals)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The values of the wide tables of runs and artifacts that aren't null."""
-    parts = [eav.melt(*eav.stitch(_kv(spark, folder, entity))).withColumn("entity", F.lit(entity)) for entity in ("run", "artifact")]
+    """The values of the wide tables of runs and artifacts that aren't null, numbers with at most four decimals."""
+    parts = [eav.melt(*eav.stitch(_kv(spark, folder, entity, decimals=4))).withColumn("entity", F.lit(entity)) for entity in ("run", "artifact")]
     return orphans.union_all(parts).select("entity", "entity_id", "namespace", "attr", F.col("value").alias("value_text"))
 
 
