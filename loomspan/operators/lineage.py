@@ -30,6 +30,25 @@ def lineage(artifacts: DataFrame, links: DataFrame, start: DataFrame, max_depth:
     return union_all(levels)
 
 
+def lineage_nodes(artifacts: DataFrame, links: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, artifact_id, run_id, depth): the artifacts that went into ``start`` (artifact_id), each once per root at its least depth.
+
+    Unlike :func:`lineage` its size is bounded by roots times artifacts, however many paths join them; cycles end.
+    """
+    made = artifacts.select(F.col("id").alias("artifact_id"), "run_id")
+    inputs = links.where("direction = 'input'").select("run_id", F.col("artifact_id").alias("next")).distinct()
+    level = start.select("artifact_id").distinct().join(made, "artifact_id").select(F.col("artifact_id").alias("root"), "artifact_id", "run_id", F.lit(0).alias("depth"))
+    levels = [stage(level, "lineage")]
+    while max_depth is None or len(levels) <= max_depth:
+        step = levels[-1].join(inputs, "run_id").select("root", F.col("next").alias("artifact_id"), (F.col("depth") + 1).alias("depth")).distinct()
+        step = step.join(union_all(levels).select("root", "artifact_id"), ["root", "artifact_id"], "left_anti")
+        step = stage(step.join(made, "artifact_id", "left").select("root", "artifact_id", "run_id", "depth"), "lineage")
+        if step.isEmpty():
+            break
+        levels.append(step)
+    return union_all(levels)
+
+
 def descendant_runs(runs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, depth): the seeds (id) and all runs below them, each once at its least depth; cycles end."""
     edges = runs.where("parent_run_id IS NOT NULL").select("id", "parent_run_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.predicates import Predicate, loose_match, scope_condition
 from loomspan.operators.facets import having_all
 from loomspan.operators.recency import by_activity, by_creation, by_iteration
+from loomspan.session import stage
 
 # The components of a run's cache identity.
 COMPONENTS = ["config_hash", "input_hash", "git_hash"]
@@ -149,19 +150,30 @@ def miss_reason(config_same: Column, input_same: Column, git_same: Column) -> Co
     return F.element_at(F.create_map(*(F.lit(x) for pair in reasons.items() for x in pair)), differs)
 
 
+#: The candidates of so many models at most are broadcast (21 rows each); those of more are shuffled.
+BROADCAST_MODELS = 10_000
+
+
 def explain_misses(runs: DataFrame, history_of: DataFrame, recent: int = 20) -> DataFrame:
     """(id, candidate_run_id, matched, reason, confidence) for each of ``runs``: the closest of the ``recent`` newest
-    completed runs of its model in ``history_of`` (other than itself), by number of equal components, then recency."""
+    completed runs of its model in ``history_of`` (other than itself), by number of equal components, then recency.
+
+    The candidates of a model are one row with an array, scored with array functions: no run is fanned out.
+    """
     from pyspark.sql.window import Window
 
     newest = Window.partitionBy("model_name").orderBy(*by_creation())
-    known = history_of.where("status = 'completed'").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= recent + 1)
-    c = known.select("model_name", F.col("id").alias("c_id"), F.col("created_at").alias("c_at"), F.col("_n"), *(F.col(x).alias(f"c_{x}") for x in COMPONENTS))
-    same = [F.col(x).eqNullSafe(F.col(f"c_{x}")) for x in COMPONENTS]
-    pairs = runs.join(c, "model_name").where("id <> c_id").withColumn("_left", F.row_number().over(Window.partitionBy("id").orderBy("_n"))).where(F.col("_left") <= recent)
-    scored = pairs.select("id", "c_id", "c_at", *(s.alias(f"s{i}") for i, s in enumerate(same)), sum(s.cast("int") for s in same).alias("matched"))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("c_id", "matched", "s0", "s1", "s2"), F.struct("matched", "c_at", "c_id")).alias("b")).select("id", "b.*")
-    joined = runs.select("id").join(best, "id", "left")
+    known = history_of.where("status = 'completed' AND model_name IS NOT NULL").withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= recent + 1)
+    each = F.struct("_n", F.col("id").alias("c_id"), F.col("created_at").alias("c_at"), *COMPONENTS)
+    models = stage(known.groupBy("model_name").agg(F.array_sort(F.collect_list(each)).alias("_c")), "candidates")
+    models = F.broadcast(models) if models.count() <= BROADCAST_MODELS else models
+
+    def scored(c: Column) -> Column:
+        same = [F.col(x).eqNullSafe(c[x]) for x in COMPONENTS]
+        return F.struct(sum(s.cast("int") for s in same).alias("matched"), c["c_at"].alias("c_at"), c["c_id"].alias("c_id"), *(s.alias(f"s{i}") for i, s in enumerate(same)))
+
+    others = F.slice(F.filter("_c", lambda c: c["c_id"] != F.col("id")), 1, recent)
+    joined = runs.select("id", "model_name", *COMPONENTS).join(models, "model_name", "left").select("id", F.array_max(F.transform(others, scored)).alias("b")).select("id", "b.*")
     reason = F.when(F.col("c_id").isNull(), "no_similar_prior_run").otherwise(miss_reason(F.col("s0"), F.col("s1"), F.col("s2")))
     confidence = F.when(F.col("c_id").isNull() | (F.col("matched").isin(0, 3)), "low").when(F.col("matched") >= 2, "high").otherwise("medium")
     return joined.select("id", F.col("c_id").alias("candidate_run_id"), "matched", reason.alias("reason"), confidence.alias("confidence"))

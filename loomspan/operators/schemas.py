@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 from loomspan.functions.hashing import canonical_json, sha256
 from loomspan.operators.recency import first_of_group
 
-MAX_FIELDS = 2000
-
 # The sources of schema observations, the most trusted first.
 PRIORITY = ["user_provided", "file", "duckdb"]
 
@@ -40,9 +38,7 @@ def parse_type(name: str) -> T.DataType:
 
 
 def profile(df: DataFrame) -> tuple[str, list[dict]]:
-    """The id and the fields (ordinal_position, name, logical_type, nullable) of a frame; at most MAX_FIELDS fields."""
-    if len(df.schema) > MAX_FIELDS:
-        raise ValueError(f"{len(df.schema)} fields; a profile has at most {MAX_FIELDS}")
+    """The id and the fields (ordinal_position, name, logical_type, nullable) of a frame."""
     fields = [{"ordinal_position": i, "name": f.name, "logical_type": f.dataType.simpleString(), "nullable": f.nullable} for i, f in enumerate(df.schema, 1)]
     return sha256(canonical_json({"fields": fields})), fields
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,7 +21,7 @@ log = logging.getLogger(__name__)
 SYSTEM = {"prov_run_id": "string", "prov_artifact_id": "string", "prov_year": "int", "prov_iteration": "int", "prov_scenario_id": "string"}
 TABULAR = ("parquet", "csv")
 #: Up to so many files a view is a union of single scans with literals, so that a filter on the run prunes files;
-#: beyond it, one scan of all paths joined with its metadata.
+#: beyond it, one scan per schema joined with the files' metadata. The rows are the same.
 MAX_LITERAL_FILES = 32
 
 _NUMBERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
@@ -161,30 +161,56 @@ def read_source(spark: SparkSession, s: Source, schema: T.StructType | None = No
     return normalized_names(spark.read.csv(s.path, header=True, inferSchema=True))
 
 
+def footer_schemas(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """The schema text in the footer of each Parquet file, read in parallel by the executors."""
+    import pandas as pd
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs
+        import pyarrow.parquet
+
+        for batch in batches:
+            texts = []
+            for p in batch["path"]:
+                fs, at = (pyarrow.fs.FileSystem.from_uri(p) if ":" in p else (pyarrow.fs.LocalFileSystem(), p))
+                texts.append(pyarrow.parquet.read_schema(at, filesystem=fs).remove_metadata().to_string(show_field_metadata=False))
+            yield pd.DataFrame({"path": batch["path"], "schema": texts})
+
+    known = spark.createDataFrame([(re.sub("^file:/+", "/", p),) for p in paths], "path string").repartition(max(1, min(len(paths) // 16, 1000)))
+    return {r.path: r.schema for r in known.mapInPandas(read, "path string, schema string").collect()}
+
+
+def _one_scan(spark: SparkSession, group: Sequence[Source], extra: Mapping[str, str], values: Callable[[Source], dict]) -> DataFrame:
+    """One scan of files of one schema, whose rows meet a table of their metadata by file path."""
+    plain = lambda p: re.sub("^file:/+", "/", p)
+    ddl = ", ".join(["_path string", *(f"`{c}` {t}" for c, t in extra.items())])
+    known = spark.createDataFrame([[plain(s.path), *(values(s).get(c) for c in extra)] for s in group], ddl)
+    scan = spark.read.parquet(*(s.path for s in group))
+    found = scan.drop(*extra).withColumn("_path", F.regexp_replace(scan["_metadata.file_path"], "^file:/+", "/"))
+    return found.join(F.broadcast(known), "_path").drop("_path")
+
+
 def cold_rows(spark: SparkSession, sources: Sequence[Source], facets: Mapping[str, Iterable[str]] | None = None, system: bool = True) -> DataFrame | None:
     """The rows of raw files with system and facet columns; None without sources.
 
-    Few files become one scan each, with literals. Many Parquet files become one scan of all paths whose rows meet a
-    small metadata table by file path.
+    Few files become one scan each, with literals. Many single Parquet files become one scan for all files of one schema.
+    Either way all parts are united by name, with widened types.
     """
     kinds = {f: facet_type(k) for f, k in (facets or {}).items()}
     extra = (SYSTEM if system else {}) | kinds
-    many = [s for s in sources if s.driver == "parquet"]
-    parts = []
-    if len(many) > MAX_LITERAL_FILES:
-        sources = [s for s in sources if s.driver != "parquet"]
-        # A file's path is the source's, or its folder's where the source is a folder of files.
-        file, ddl = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", ""), ", ".join(["_path string", *(f"`{c}` {t}" for c, t in extra.items())])
-        for folders in (False, True):
-            group = [s for s in many if is_folder(spark, s.path) == folders]
-            if group:
-                known = spark.createDataFrame([[re.sub("^file:(//)?", "", s.path.rstrip("/")), *(({**s.system(), **s.facets}).get(c) for c in extra)] for s in group], ddl)
-                scan = spark.read.option("mergeSchema", True).parquet(*(s.path for s in group))
-                parts.append(scan.withColumn("_path", F.regexp_replace(file, "/[^/]*$", "") if folders else file).join(F.broadcast(known), "_path").drop("_path"))
-    for s in sources:
-        values = ({**s.system()} if system else {}) | {f: s.facets.get(f) for f in kinds}
+    values = lambda s: (s.system() if system else {}) | {f: s.facets.get(f) for f in kinds}
+    parts, single = [], list(sources)
+    if len(sources) > MAX_LITERAL_FILES:
+        files = [s for s in sources if s.driver == "parquet" and not is_folder(spark, s.path)]
+        schemas = footer_schemas(spark, [s.path for s in files]) if files else {}
+        groups: dict[str, list[Source]] = {}
+        for s in files:
+            groups.setdefault(schemas[re.sub("^file:/+", "/", s.path)], []).append(s)
+        parts += [_one_scan(spark, group, extra, values) for group in groups.values()]
+        single = [s for s in sources if s not in files]
+    for s in single:
         df = read_source(spark, s)
-        parts.append(df.drop(*values).select("*", *(F.lit(v).cast(extra[c]).alias(c) for c, v in values.items())))
+        parts.append(df.drop(*extra).select("*", *(F.lit(v).cast(extra[c]).alias(c) for c, v in values(s).items())))
     return union_by_name(parts) if parts else None
 
 

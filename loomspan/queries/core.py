@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions import hashing, ids
+from loomspan.functions.types import plain_double
 from loomspan.operators import arrays, artifacts, coefficients, facets, gtfs, lineage, recency, runs, schemas, views
 from loomspan.operators.runset import RunSet, diff_values
+from loomspan.operators.skew import heavy_keys, join_unique
 from loomspan.plans import admin
 from loomspan.queries.registry import CURRENT_ARTIFACTS, CURRENT_RUNS, LINKS, Registry, trim_sql, uuid_sql
 from loomspan.session import read_table
@@ -149,20 +151,35 @@ def facet_predicates_and(spark, folder):
     return facets.having_all(current_artifacts(spark, folder), "id", kv, "artifact_id", ["iteration>=1", "simulate.artifact_family=skims"]).select("id", "key")
 
 
-@query(f"""WITH {ARTIFACT_KV} SELECT artifact_id, key_path, value_type, value_num FROM akv QUALIFY row_number() OVER (PARTITION BY artifact_id, key_path ORDER BY created_at DESC, facet_id DESC, namespace DESC NULLS LAST) = 1""")
+@query(f"""WITH {ARTIFACT_KV} SELECT artifact_id, key_path, value_type, CASE WHEN NOT isnan(value_num) THEN value_num END AS value_num FROM akv QUALIFY row_number() OVER (PARTITION BY artifact_id, key_path ORDER BY created_at DESC, facet_id DESC, namespace DESC NULLS LAST) = 1""")
 def facet_newest_value(spark, folder):
-    """Of several values of one key the newest counts."""
-    kv = artifact_kv(spark, folder)
+    """Of several values of one key the newest counts; NaN is null."""
+    kv = artifact_kv(spark, folder).withColumn("value_num", F.nanvl("value_num", F.lit(None)))
     order = [F.col("created_at").desc(), F.col("facet_id").desc(), F.col("namespace").desc_nulls_last()]
     return recency.first_of_group(kv, ["artifact_id", "key_path"], order).select("artifact_id", "key_path", "value_type", "value_num")
 
 
-@query(f"""WITH {RUN_KV} SELECT value_type, CASE WHEN value_type = 'bool' THEN value_bool::VARCHAR WHEN value_type = 'int' THEN value_num::BIGINT::VARCHAR ELSE value_str END AS v, count(*) AS n FROM kv
-  WHERE key = 'use_shadow_pricing' AND value_type IN ('bool', 'int', 'str') AND NOT coalesce(isnan(value_num), false) GROUP BY 1, 2""")
+# Numbers as text differ between engines, so the queries write them plainly, with six decimals at most.
+_TEXT = """CASE WHEN value_type = 'bool' THEN value_bool::VARCHAR WHEN value_type IN ('int', 'float', 'num') THEN CASE WHEN isnan(value_num) THEN 'NaN' WHEN value_type = 'int' THEN trunc(value_num)::BIGINT::VARCHAR
+  WHEN round(value_num, 6) = 0 THEN '0' ELSE regexp_replace(printf('%.6f', value_num), '\\.?0+$', '') END WHEN value_type = 'json' THEN value_json ELSE value_str END"""
+
+
+def with_plain_numbers(kv: DataFrame) -> DataFrame:
+    """Typed rows whose floats are plain text instead."""
+    number = F.col("value_type").isin("float", "num") & F.col("value_num").isNotNull()
+    plain = F.when(F.isnan("value_num"), "NaN").otherwise(plain_double(F.col("value_num"), 6))
+    return kv.withColumn("value_str", F.when(number, plain).otherwise(F.col("value_str"))).withColumn("_float", number)
+
+
+def plain_typed_text() -> Column:
+    return F.when(F.col("_float"), F.col("value_str")).otherwise(facets.typed_text())
+
+
+@query(f"""WITH {RUN_KV} SELECT key, value_type, {_TEXT} AS v, count(*) AS n FROM kv GROUP BY 1, 2, 3""")
 def facet_typed_values(spark, folder):
-    """Typed rows read as text."""
-    kv = run_kv(spark, folder).where("key = 'use_shadow_pricing' AND value_type IN ('bool', 'int', 'str') AND NOT coalesce(isnan(value_num), false)")
-    return kv.groupBy("value_type", facets.typed_text().alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    """The values of every key read as text, and how often each occurs."""
+    kv = with_plain_numbers(run_kv(spark, folder))
+    return kv.groupBy("key", "value_type", plain_typed_text().alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- runs ---------------------------------------------------------------------------------------------------------
@@ -254,20 +271,18 @@ def config_diff_full_outer(spark, folder):
     return diff_values(side("Brand#11"), side("Brand#22"), ["key"])
 
 
-_TEXT = "CASE value_type WHEN 'bool' THEN value_bool::VARCHAR WHEN 'json' THEN value_json ELSE value_str END"
-
-
 @query(f"""WITH {CURRENT_RUNS}, {RUN_KV}, l AS (SELECT * FROM cur WHERE model_name = 'beam' QUALIFY row_number() OVER (PARTITION BY year ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
   r AS (SELECT * FROM cur WHERE model_name = 'beam' AND status = 'failed' QUALIFY row_number() OVER (PARTITION BY year ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
   p AS (SELECT l.year, l.id AS left_id, r.id AS right_id FROM l JOIN r ON l.year IS NOT DISTINCT FROM r.year),
-  v AS (SELECT run_id, key, value FROM (SELECT *, {_TEXT} AS value FROM kv WHERE namespace = 'beam' AND value_type IN ('bool', 'str', 'json')) QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY created_at DESC, facet_id DESC) = 1),
+  v AS (SELECT run_id, key, value FROM (SELECT *, {_TEXT} AS value FROM kv WHERE namespace = 'beam') QUALIFY row_number() OVER (PARTITION BY run_id, key ORDER BY created_at DESC, facet_id DESC) = 1),
   a AS (SELECT year, left_id, right_id, key, value FROM p JOIN v ON v.run_id = left_id), b AS (SELECT year, left_id, right_id, key, value FROM p JOIN v ON v.run_id = right_id)
   SELECT coalesce(a.year, b.year) AS year, coalesce(a.left_id, b.left_id) AS left_id, coalesce(a.right_id, b.right_id) AS right_id, coalesce(a.key, b.key) AS key, a.value AS left_value, b.value AS right_value,
   CASE WHEN b.key IS NULL THEN 'removed' WHEN a.key IS NULL THEN 'added' WHEN a.value IS NOT DISTINCT FROM b.value THEN 'same' ELSE 'changed' END AS status
   FROM a FULL JOIN b ON a.left_id = b.left_id AND a.right_id = b.right_id AND a.key = b.key""")
 def aligned_config_diffs(spark, folder):
     """Configuration differences of aligned runs."""
-    known, kv = current_runs(spark, folder), run_kv(spark, folder).where("value_type IN ('bool', 'str', 'json')")
+    known, kv = current_runs(spark, folder), with_plain_numbers(run_kv(spark, folder))
+    kv = kv.withColumn("value_type", F.when(F.col("_float"), "str").otherwise(F.col("value_type"))).drop("_float")
     left = RunSet(known, kv).filter(model_name="beam").latest(["year"])
     right = RunSet(known, kv).filter(model_name="beam", status="failed").latest(["year"])
     pair = left.align(right, ["year"])
@@ -339,10 +354,10 @@ def artifacts_by_facets(spark, folder):
     return artifacts.by_facets(current_artifacts(spark, folder), artifact_kv(spark, folder), ["is_final=true"], key_prefix="p", family_prefix="s", limit=40).select("id", "key")
 
 
-@query(f"""WITH {CURRENT_ARTIFACTS} SELECT container_uri, table_path, id FROM art WHERE run_id IS NOT NULL AND driver IN ('h5', 'zarr') QUALIFY row_number() OVER (PARTITION BY container_uri, table_path ORDER BY created_at DESC NULLS LAST, id DESC) = 1""")
+@query(f"""WITH {CURRENT_ARTIFACTS} SELECT container_uri, table_path, id FROM art WHERE run_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY container_uri, table_path ORDER BY created_at DESC NULLS LAST, id DESC) = 1""")
 def latest_artifact_at_uri(spark, folder):
     """The newest artifact at each address."""
-    known = current_artifacts(spark, folder).where("driver IN ('h5', 'zarr')")
+    known = current_artifacts(spark, folder)
     return artifacts.latest_at(known, known.select("container_uri", "table_path"), ["container_uri", "table_path"]).select("container_uri", "table_path", "id")
 
 
@@ -446,6 +461,16 @@ def lineage_depth(spark, folder):
     return lineage.lineage(known, links(spark, folder), start, max_depth=3).select("root", "artifact_id", "run_id", "depth")
 
 
+@query(f"""WITH RECURSIVE {CURRENT_ARTIFACTS}, {LINKS}, s AS (SELECT id FROM art WHERE run_id IS NOT NULL ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 5), i AS (SELECT DISTINCT run_id, artifact_id FROM lnk WHERE direction = 'input'),
+  t AS (SELECT id AS root, id AS artifact_id, run_id FROM art WHERE id IN (SELECT id FROM s) UNION SELECT t.root, i.artifact_id, a.run_id FROM t JOIN i ON i.run_id = t.run_id LEFT JOIN art a ON a.id = i.artifact_id)
+  SELECT root, artifact_id, run_id FROM t""")
+def lineage_reach(spark, folder):
+    """Everything that went into five artifacts, at any depth, each artifact once."""
+    known = current_artifacts(spark, folder)
+    start = known.where("run_id IS NOT NULL").orderBy(*recency.by_creation()).limit(5).select(F.col("id").alias("artifact_id"))
+    return lineage.lineage_nodes(known, links(spark, folder), start).select("root", "artifact_id", "run_id")
+
+
 # --- identities ---------------------------------------------------------------------------------------------------
 
 
@@ -464,7 +489,11 @@ def input_merkle_hash(spark, folder):
     """One hash over all inputs of each run."""
     a = current_artifacts(spark, folder).withColumnRenamed("run_id", "producer")
     producers = current_runs(spark, folder).select(F.col("id").alias("producer"), F.col("signature").alias("producer_signature"))
-    used = links(spark, folder).where("direction = 'input'").withColumnRenamed("run_id", "consumer").join(a, F.col("artifact_id") == F.col("id")).join(producers, "producer", "left").withColumnRenamed("producer", "run_id")
+    inputs = links(spark, folder).where("direction = 'input'").withColumnRenamed("run_id", "consumer")
+    # A few shared inputs are used by many runs: they are joined apart.
+    shared = heavy_keys(inputs.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")), "artifact_id", "n")
+    made = a.withColumnRenamed("id", "artifact_id").withColumn("known", F.lit(True))
+    used = join_unique(inputs, made, "artifact_id", shared).where("known").join(producers, "producer", "left").withColumnRenamed("producer", "run_id")
     return hashing.merkle_hash(used.select("consumer", hashing.input_signature().alias("sig")), "consumer", "sig").withColumnRenamed("consumer", "run_id")
 
 

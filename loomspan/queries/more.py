@@ -152,11 +152,16 @@ def run_rows_by_selection(spark, folder):
     return admin.of_runs(orders, chosen).drop("prov_run_id")
 
 
-@query()
+@query(f"""WITH {CURRENT_RUNS}, {CURRENT_ARTIFACTS}, {LINKS}, n AS (SELECT lnk.run_id, direction, coalesce(key, artifact_id) AS name FROM lnk LEFT JOIN art ON art.id = lnk.artifact_id),
+  g AS (SELECT run_id, count(*) FILTER (direction = 'input') AS n_inputs, count(*) FILTER (direction = 'output') AS n_outputs, min(name) FILTER (direction = 'input') AS first_input FROM n GROUP BY 1)
+  SELECT cur.id AS run_id, CASE status WHEN 'failed' THEN 'FAIL' WHEN 'completed' THEN 'COMPLETE' ELSE 'START' END AS event_type, model_name AS job, coalesce(n_inputs, 0) AS n_inputs, coalesce(n_outputs, 0) AS n_outputs, first_input FROM cur LEFT JOIN g ON g.run_id = cur.id""")
 def run_events(spark, folder):
-    """Lineage events of all runs."""
+    """Lineage events of all runs, read back from their JSON."""
     known = links(spark, folder)
-    return sinks.run_events(current_runs(spark, folder), known, current_artifacts(spark, folder).select("id", "key"))
+    events = sinks.run_events(current_runs(spark, folder), known, current_artifacts(spark, folder).select("id", "key"))
+    of = lambda path: F.get_json_object("event", path)
+    size = lambda path: F.coalesce(F.json_array_length(of(path)), F.lit(0)).cast("long")
+    return events.select(of("$.run.runId").alias("run_id"), of("$.eventType").alias("event_type"), of("$.job.name").alias("job"), size("$.inputs").alias("n_inputs"), size("$.outputs").alias("n_outputs"), of("$.inputs[0].name").alias("first_input"))
 
 
 @query()

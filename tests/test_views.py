@@ -98,3 +98,24 @@ def test_views_are_replaced_or_refused(spark):
 def test_normalized_names(spark):
     df = spark.createDataFrame([(1, 2, 3, 4)], ["A b", "a_b", "1st", "é"])
     assert views.normalized_names(df).columns == ["a_b", "a_b_1", "_1st", "_"]
+
+
+def test_many_files_of_differing_schemas_are_widened(spark, tmp_path, monkeypatch):
+    """A view gives the same rows whether its files are read one by one or by schema."""
+    from loomspan.operators import views
+
+    sources = []
+    for i in range(6):
+        kind = ("bigint", "string", "int")[i % 3]
+        at = str(tmp_path / f"f{i}.parquet")
+        from loomspan.sources.sinks import write_single
+
+        write_single(spark.createDataFrame([(i,)], "x int").selectExpr(f"cast(x AS {kind}) AS x").coalesce(1), at)
+        sources.append(views.Source(at, "parquet", run_id=f"r{i}", facets={"year": 2000 + i}))
+    read = lambda: views.cold_rows(spark, sources, {"year": ["int"]})
+    one_by_one = read()
+    monkeypatch.setattr(views, "MAX_LITERAL_FILES", 3)
+    grouped = read()
+    assert dict(grouped.dtypes) == dict(one_by_one.dtypes) and dict(grouped.dtypes)["x"] == "string"
+    order = sorted(one_by_one.columns)
+    assert sorted(map(tuple, grouped.select(order).collect()), key=repr) == sorted(map(tuple, one_by_one.select(order).collect()), key=repr)
