@@ -1,8 +1,9 @@
 """Data quality profile of loads against declared fields and against earlier loads.
 
 The declared checks of all columns compile into one aggregate over one scan. Its result is a table of mergeable states
-(counts, sums, extremes, distinct-count sketches): states of several partitions or days merge by adding, so a new load
-only adds its own states. Findings, changes between loads and control limits are computed from states alone.
+(counts, sums, extremes, distinct-count sketches): states of several files or days merge by adding. They are kept in a
+store, one row per load and input file, so a later call only scans the files that are new. Findings, changes between
+loads and control limits are computed from the merged states alone; only exact duplicates are sought in the rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.functions.files import FILE_SCHEME, exists, plain_path
+
 
 @dataclass(frozen=True)
 class Check:
@@ -76,6 +79,31 @@ def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
     return states.groupBy(*by).agg(*(how.get(c.rpartition("__")[2], F.sum)(c).alias(c) for c in states.columns if c not in by))
 
 
+class StateStore:
+    """States by load and input file, as Parquet files in the folder ``path``."""
+
+    def __init__(self, path: str, by: list[str], checks: list[Check]):
+        self.path, self.by, self.checks = path, by, checks
+
+    def update(self, df: DataFrame) -> list[str]:
+        """Profile the files of ``df`` (a table in Parquet files) that have no states yet, in one scan; returns their paths.
+
+        The list of a table's files is on the driver anyway; a file is taken as never changed.
+        """
+        spark = df.sparkSession
+        known = {r[0] for r in spark.read.parquet(self.path).select("_file").distinct().collect()} if exists(spark, self.path) else set()
+        new = sorted(f for f in df.inputFiles() if plain_path(f) not in known)
+        if new or not known:
+            rows = spark.read.schema(df.schema).parquet(*new) if new else df
+            rows = rows.select("*", F.regexp_replace("_metadata.file_path", FILE_SCHEME, "/").alias("_file")) if new else rows.withColumn("_file", F.lit(""))
+            profile_states(rows, [*self.by, "_file"], self.checks).write.mode("append").option("compression", "zstd").parquet(self.path)
+        return new
+
+    def read(self, spark) -> DataFrame:
+        """One row of states per load."""
+        return merge_states(spark.read.parquet(self.path).drop("_file"), self.by)
+
+
 def duplicate_loads(df: DataFrame, by: list[str], checks: list[Check]) -> DataFrame | None:
     """(by, column_name): loads in which a value of a unique column occurs twice. Grouped by value, so no load is held by one task."""
     parts = [df.where(F.col(c.name).isNotNull()).groupBy(*by, F.col(c.name).alias("_v")).count().where("count > 1").select(*by, F.lit(c.name).alias("column_name")).distinct() for c in checks if c.unique]
@@ -129,7 +157,11 @@ def metrics(states: DataFrame, by: list[str], checks: list[Check]) -> DataFrame:
 
 
 def control_limits(metric_rows: DataFrame, scenario: str, at: str, sigmas: float = 3.0, least: int = 3) -> DataFrame:
-    """Metrics outside mean +- ``sigmas`` deviations of all earlier loads of the scenario, where there are ``least`` of them."""
+    """Metrics outside mean +- ``sigmas`` deviations of all earlier loads of the scenario, where there are ``least`` of them.
+
+    A difference in the ninth decimal is rounding and never outside.
+    """
     w = Window.partitionBy(scenario, "column_name", "metric").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     known = metric_rows.select("*", F.avg("value").over(w).alias("center"), F.stddev_samp("value").over(w).alias("deviation"), F.count("value").over(w).alias("loads"))
-    return known.where((F.col("loads") >= least) & (F.abs(F.col("value") - F.col("center")) > sigmas * F.col("deviation")))
+    limit = F.greatest(sigmas * F.col("deviation"), 1e-9 * F.greatest(F.lit(1.0), F.abs("center")))
+    return known.where((F.col("loads") >= least) & (F.abs(F.col("value") - F.col("center")) > limit))

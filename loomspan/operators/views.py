@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspan.functions.files import FILE_SCHEME, exists, is_folder, plain_path
 from loomspan.operators.facets import facet_type
 from loomspan.operators.skew import union_all
 
@@ -116,16 +116,6 @@ class Source:
         return dict(zip(SYSTEM, (self.run_id, self.artifact_id, self.year, self.iteration, self.scenario_id)))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
-
-
-def is_folder(spark: SparkSession, path: str) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
-
-
 def present(spark: SparkSession, sources: Sequence[Source], missing: str = "warn") -> list[Source]:
     """The tabular sources whose files are there; ``missing`` is warn, error or skip_silent."""
     if missing not in ("warn", "error", "skip_silent"):
@@ -176,17 +166,16 @@ def footer_schemas(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
                 texts.append(pyarrow.parquet.read_schema(at, filesystem=fs).remove_metadata().to_string(show_field_metadata=False))
             yield pd.DataFrame({"path": batch["path"], "schema": texts})
 
-    known = spark.createDataFrame([(re.sub("^file:/+", "/", p),) for p in paths], "path string").repartition(max(1, min(len(paths) // 16, 1000)))
+    known = spark.createDataFrame([(plain_path(p),) for p in paths], "path string").repartition(max(1, min(len(paths) // 16, 1000)))
     return {r.path: r.schema for r in known.mapInPandas(read, "path string, schema string").collect()}
 
 
 def _one_scan(spark: SparkSession, group: Sequence[Source], extra: Mapping[str, str], values: Callable[[Source], dict]) -> DataFrame:
     """One scan of files of one schema, whose rows meet a table of their metadata by file path."""
-    plain = lambda p: re.sub("^file:/+", "/", p)
     ddl = ", ".join(["_path string", *(f"`{c}` {t}" for c, t in extra.items())])
-    known = spark.createDataFrame([[plain(s.path), *(values(s).get(c) for c in extra)] for s in group], ddl)
+    known = spark.createDataFrame([[plain_path(s.path), *(values(s).get(c) for c in extra)] for s in group], ddl)
     scan = spark.read.parquet(*(s.path for s in group))
-    found = scan.drop(*extra).withColumn("_path", F.regexp_replace(scan["_metadata.file_path"], "^file:/+", "/"))
+    found = scan.drop(*extra).withColumn("_path", F.regexp_replace(scan["_metadata.file_path"], FILE_SCHEME, "/"))
     return found.join(F.broadcast(known), "_path").drop("_path")
 
 
@@ -205,7 +194,7 @@ def cold_rows(spark: SparkSession, sources: Sequence[Source], facets: Mapping[st
         schemas = footer_schemas(spark, [s.path for s in files]) if files else {}
         groups: dict[str, list[Source]] = {}
         for s in files:
-            groups.setdefault(schemas[re.sub("^file:/+", "/", s.path)], []).append(s)
+            groups.setdefault(schemas[plain_path(s.path)], []).append(s)
         parts += [_one_scan(spark, group, extra, values) for group in groups.values()]
         single = [s for s in sources if s not in files]
     for s in single:

@@ -92,6 +92,15 @@ def _p5() -> str:
 
 P5 = _p5()
 
+_METRICS = "p AS (SELECT * REPLACE (CASE WHEN isnan(income) THEN NULL ELSE income END AS income) FROM person), m AS (" + " UNION ALL ".join(
+    [f"SELECT scenario_id, loaded_at, '{c}' AS column_name, 'null_share' AS metric, round((count(*) - count({c})) / count(*), 6) AS value FROM p GROUP BY 1, 2" for c in _COLUMNS]
+    + [f"SELECT scenario_id, loaded_at, '{c}', 'mean', round(sum({c}::DOUBLE) FILTER ({c} BETWEEN {a} AND {b}) / nullif(count(*) FILTER ({c} BETWEEN {a} AND {b}), 0), 6) FROM p GROUP BY 1, 2" for c, (a, b) in _RANGES.items()]
+) + ")"
+P5_METRICS = f"WITH {_METRICS} SELECT * FROM m"
+P5_ANOMALIES = f"""WITH {_METRICS}, k AS (SELECT *, avg(value) OVER w AS center, stddev_samp(value) OVER w AS deviation, count(value) OVER w AS loads FROM m
+    WINDOW w AS (PARTITION BY scenario_id, column_name, metric ORDER BY loaded_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT scenario_id, loaded_at, column_name, metric, value, round(center, 6) AS center, round(deviation, 6) AS deviation, loads FROM k WHERE loads >= 3 AND abs(value - center) > greatest(3 * deviation, 1e-9 * greatest(1, abs(center)))"""
+
 _SPELLED = "CASE WHEN t IN ('int', 'int64', 'bigint', 'long', 'integer') THEN 'integer' WHEN t IN ('float', 'double', 'float64') THEN 'float' WHEN t IN ('str', 'string', 'varchar', 'text') THEN 'string' WHEN t IN ('bool', 'boolean') THEN 'boolean' WHEN t IN ('timestamp', 'datetime') THEN 'timestamp' ELSE t END"
 P7 = f"""WITH {CURRENT_ARTIFACTS}, o AS (SELECT {uuid_sql('artifact_id')} AS artifact_id, min(observed_at) AS since, arg_min(schema_id, observed_at) AS schema_id FROM artifact_schema_observation GROUP BY 1),
   f AS (SELECT DISTINCT schema_id, lower({trim_sql('name')}) AS name, {_SPELLED} AS kind, ordinal_position AS pos FROM (SELECT *, lower({trim_sql('logical_type')}) AS t FROM artifact_schema_field)),
@@ -134,4 +143,4 @@ P6 = f"""WITH RECURSIVE {CURRENT_RUNS}, walk AS (SELECT id AS run_id, '' AS path
 
 P1_SUMMARY = f"SELECT difference, count(*) AS n_runs FROM ({P1}) GROUP BY 1"
 
-SQL = {"p1_found": P1, "p1_summary": P1_SUMMARY, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_descendants": P3_DESCENDANTS, "p3_paths": P3_PATHS, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7, "p7_union_schema": P7_UNION}
+SQL = {"p1_found": P1, "p1_summary": P1_SUMMARY, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p3_descendants": P3_DESCENDANTS, "p3_paths": P3_PATHS, "p4_found": P4, "p5_found": P5, "p5_metrics": P5_METRICS, "p5_anomalies": P5_ANOMALIES, "p6_found": P6, "p7_found": P7, "p7_union_schema": P7_UNION}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from loomspan.functions.types import number_text
 from loomspan.operators import drift, eav, hierarchy, nested, orphans, profile
 from loomspan.operators.copydiff import Copy, diff_copies
 from loomspan.queries.problem_sql import SQL as SQL
-from loomspan.session import prepare, read_table, stage
+from loomspan.session import prepare, read_table, shared_dir, stage
 
 RUN_TEXT = ["status", "model_name", "description", "stage", "phase", "config_hash", "git_hash", "input_hash", "signature"]
 RUN_NUMBERS = ["year", "iteration"]
@@ -175,10 +177,17 @@ def _person(spark: SparkSession, folder: str) -> tuple[DataFrame, list[profile.C
     return read_table(spark, folder, "person"), profile.declared(read_table(spark, folder, "field_profile").collect())
 
 
+def _states(spark: SparkSession, person: DataFrame, checks: list[profile.Check]) -> DataFrame:
+    """The merged states of all loads, from a store of states by file that the query fills."""
+    store = profile.StateStore(f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/states-{uuid.uuid4().hex}", LOAD, checks)
+    store.update(person)
+    return store.read(spark)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Breaches of the declared profile in each load of persons, and changes against the scenario's load before."""
     person, checks = _person(spark, folder)
-    found = profile.findings(profile.profile_states(person, LOAD, checks), *LOAD, checks)
+    found = profile.findings(_states(spark, person, checks), *LOAD, checks)
     twice = profile.duplicate_loads(person, LOAD, checks)
     if twice is not None:
         found = found.unionByName(twice.withColumn("finding", F.lit("duplicate")))
@@ -186,16 +195,23 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Null share, distinct values and mean of each column and load; the states of the months are merged."""
+    """Null share and mean of each column and load, to six decimals."""
     person, checks = _person(spark, folder)
-    parts = profile.profile_states(person.withColumn("part", F.pmod(F.xxhash64("person_id"), F.lit(4))), [*LOAD, "part"], checks)
-    return profile.metrics(profile.merge_states(parts.drop("part"), LOAD), LOAD, checks)
+    found = profile.metrics(_states(spark, person, checks), LOAD, checks).where("metric <> 'distinct'")
+    return found.withColumn("value", F.round("value", 6))
+
+
+def p5_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated distinct values of each column and load, from sketches."""
+    person, checks = _person(spark, folder)
+    return profile.metrics(_states(spark, person, checks), LOAD, checks).where("metric = 'distinct'")
 
 
 def p5_anomalies(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of a load outside the control limits of the scenario's earlier loads."""
+    """Null shares and means of a load outside the control limits of the scenario's earlier loads."""
     person, checks = _person(spark, folder)
-    return profile.control_limits(profile.metrics(profile.profile_states(person, LOAD, checks), LOAD, checks), *LOAD)
+    rows = profile.metrics(_states(spark, person, checks), LOAD, checks).where("metric <> 'distinct'").withColumn("value", F.round("value", 6))
+    return profile.control_limits(rows, *LOAD).select(*LOAD, "column_name", "metric", "value", F.round("center", 6).alias("center"), F.round("deviation", 6).alias("deviation"), "loads")
 
 
 # The lists of run.meta whose objects become rows.
@@ -250,10 +266,22 @@ def p7_union_schema(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_unified(spark: SparkSession, folder: str) -> DataFrame:
-    """All records of all files of each artifact key, under its union schema."""
+    """All records of all files of each artifact key as one table: renamed fields are one column, in its promoted type."""
     files, schemas = _files(spark, folder)
+    files = stage(files, "files")
+    log = drift.drift_log(files, schemas, "artifact_key", "artifact_id", "first_at")
+    columns = stage(drift.column_names(files, schemas, log, "artifact_key", "artifact_id", "first_at"), "columns")
     records = read_table(spark, folder, "dataset_record").select(ids.artifact_id("artifact_id").alias("artifact_id"), "row_no", "record").join(files.select("artifact_id", "artifact_key"), "artifact_id")
-    return drift.unified_values(records, drift.union_schemas(files, schemas, "artifact_key"), "artifact_key", "artifact_id")
+    union = drift.union_schemas(files, schemas, "artifact_key", columns, "artifact_id")
+    return drift.unified_values(drift.renamed_members(records, columns, "artifact_key", "artifact_id"), union, "artifact_key", "artifact_id")
+
+
+def p7_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields of files that go into a column of a later name."""
+    files, schemas = _files(spark, folder)
+    files = stage(files, "files")
+    log = drift.drift_log(files, schemas, "artifact_key", "artifact_id", "first_at")
+    return drift.column_names(files, schemas, log, "artifact_key", "artifact_id", "first_at")
 
 
 META_TABLES = {f.__name__: f for f in map(_meta_table, META_LISTS)}
@@ -261,6 +289,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(p1_found, p1_summary, p2_found, p2_counts, p3_found, p3_paths, p3_descendants, p4_found, p4_run_wide, p4_artifact_wide),
-        *(p5_found, p5_metrics, p5_anomalies, p6_found, p6_variants, p7_found, p7_union_schema, p7_unified),
+        *(p5_found, p5_metrics, p5_distinct, p5_anomalies, p6_found, p6_variants, p7_found, p7_union_schema, p7_columns, p7_unified),
     )
 } | META_TABLES
