@@ -3,7 +3,8 @@
 Each side is reduced to light rows (key, two 64-bit hashes of the row). Light rows are sorted by (hash of key, key)
 inside ranges of that hash; a rolling hash over the last ``window`` keys ends a chunk wherever its low bits are zero, so
 both copies cut at the same keys again right after a missing row. Chunk fingerprints that occur on both sides drop out;
-only rows of the other chunks are read in full, reduced to the current version and compared field by field.
+only rows of the other chunks are read in full, reduced to the current version and compared field by field. A broadcast
+bitmap of their keys' hashes keeps nearly all other rows from the shuffle of that second reading.
 """
 
 from __future__ import annotations
@@ -65,9 +66,25 @@ def _chunks(copy: Copy, key: str, fields: Sequence[str], bits: int, mean_rows: i
     )
 
 
-def _current(copy: Copy, key: str, fields: Sequence[str], suspects: DataFrame) -> DataFrame:
+#: Slots of the bitmap per suspect, and the logarithm of the most slots: 2^20 words of 64, about 24 MB as a broadcast table.
+SLOTS_PER_KEY, MOST_SLOT_BITS = 16, 26
+
+
+def sieve(rows: DataFrame, key: str, suspects: DataFrame, n: int) -> DataFrame:
+    """The rows whose key is one of ``n`` suspects, and a few others: one in SLOTS_PER_KEY, more once the bitmap is at its bound."""
+    bits = min(MOST_SLOT_BITS, max(8, math.ceil(math.log2(SLOTS_PER_KEY * n + 1))))
+    if n > 1 << bits - 1:
+        return rows
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    words = suspects.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    kept = rows.withColumn("_word", word).join(F.broadcast(words), "_word").where(F.getbit("_bits", bit) == 1)
+    return kept.drop("_word", "_bits")
+
+
+def _current(copy: Copy, key: str, fields: Sequence[str], suspects: DataFrame, n: int) -> DataFrame:
     version = F.struct(*copy.version, "_h1", "_h2")
-    rows = copy.df.join(suspects, key, "left_semi").select(key, *copy.version, *fields, *_hashes([key, *fields]))
+    rows = sieve(copy.df, key, suspects, n).join(suspects, key, "left_semi").select(key, *copy.version, *fields, *_hashes([key, *fields]))
     return rows.groupBy(key).agg(F.max_by(F.struct(*fields), version).alias("_row"))
 
 
@@ -78,7 +95,7 @@ def diff_copies(
     fields: Sequence[str],
     missing_left: str = "missing_in_left",
     missing_right: str = "missing_in_right",
-    mean_rows: int = 8,
+    mean_rows: int = 4,
     window: int = 4,
 ) -> DataFrame:
     """Rows (key, difference): a key missing on one side, or the name of a field whose values differ.
@@ -94,8 +111,9 @@ def diff_copies(
     on = ["_range", "_f1", "_f2", "_n"]
     unmatched = own.withColumnRenamed("_keys", "_lkeys").join(other.withColumnRenamed("_keys", "_rkeys"), on, "full_outer").where("_l IS NULL OR _r IS NULL")
     suspects = stage(unmatched.select(F.explode(F.coalesce("_lkeys", "_rkeys")).alias(key)).distinct(), "suspects")
-    a = _current(left, key, fields, suspects).withColumnRenamed("_row", "_a")
-    b = _current(right, key, fields, suspects).withColumnRenamed("_row", "_b")
+    n = suspects.count()
+    a = _current(left, key, fields, suspects, n).withColumnRenamed("_row", "_a")
+    b = _current(right, key, fields, suspects, n).withColumnRenamed("_row", "_b")
     changed = F.array_compact(F.array(*(F.when(~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}")), F.lit(f)) for f in fields)))
     found = F.when(F.col("_a").isNull(), F.array(F.lit(missing_left))).when(F.col("_b").isNull(), F.array(F.lit(missing_right))).otherwise(changed)
     return a.join(b, key, "full_outer").select(key, F.explode(found).alias("difference"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.types import number_text
 from loomspan.operators import drift, eav, nested, orphans, profile
+from loomspan.operators import copydiff
 from loomspan.operators.copydiff import Copy, diff_copies
 from loomspan.operators.skew import heavy_keys
 from loomspan.queries import problems
@@ -190,3 +191,17 @@ def test_typed_tables_of_lists_hold_all_members(spark, small, name):
                 assert v == (text == "true")
             else:
                 assert v is not None and float(v) == float(text)
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_the_sieve_keeps_all_suspects_and_few_others(spark, n):
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"), F.lit("x").alias("_other"))
+    suspects = rows.where(F.expr(f"substring(k, 2) % 50 = 0 AND substring(k, 2) < {n * 50}")).select("k")
+    kept = {r.k for r in copydiff.sieve(rows, "k", suspects, n).collect()}
+    assert {r.k for r in suspects.collect()} <= kept and len(kept) <= n + 20_000 / copydiff.SLOTS_PER_KEY * 1.5
+
+
+def test_a_full_bitmap_keeps_all(spark, monkeypatch):
+    monkeypatch.setattr(copydiff, "MOST_SLOT_BITS", 4)
+    rows = spark.range(100).select(F.col("id").cast("string").alias("k"))
+    assert copydiff.sieve(rows, "k", rows, 100).count() == 100
