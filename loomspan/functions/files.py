@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 #: Local paths come with one slash or three.
@@ -65,11 +66,16 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> bool:
-    """Write a small file; False if it is there and may not be overwritten."""
+    """Write a small file; False if it is there, or someone else makes it first, and may not be overwritten."""
     fs, at = _at(spark, path)
     if not overwrite and fs.exists(at):
         return False
-    out = fs.create(at, overwrite)
+    try:
+        out = fs.create(at, overwrite)
+    except Py4JJavaError:
+        if not overwrite and fs.exists(at):
+            return False
+        raise
     try:
         out.write(bytearray(text.encode()))
     finally:

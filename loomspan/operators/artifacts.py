@@ -82,3 +82,24 @@ def fill_content_ids(artifacts: DataFrame) -> DataFrame:
     """Artifacts with the content id of their hash and driver where it is missing."""
     derived = F.sha2(F.concat_ws("|", "hash", F.coalesce("driver", F.lit(""))), 256)
     return artifacts.withColumn("content_id", F.coalesce("content_id", F.when(F.col("hash").isNotNull(), derived)))
+
+
+def latest_by_hash(artifacts: DataFrame, driver: str | None = None) -> DataFrame:
+    """The newest artifact of each content hash, on wish of one driver."""
+    known = artifacts.where(F.col("hash").isNotNull()) if driver is None else artifacts.where(F.col("hash").isNotNull() & (F.col("driver") == driver))
+    return first_of_group(known, ["hash"], by_creation())
+
+
+def missing_files(artifacts: DataFrame, listing: DataFrame) -> DataFrame:
+    """The artifacts whose file or folder is not in ``listing`` (path), a listing of the places they lie in; ingested ones count as there.
+
+    The listing is joined, so no file is asked for one by one.
+    """
+    from loomspan.functions.files import FILE_SCHEME
+
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, FILE_SCHEME, "/"), "/+$", "")
+    found = listing.select(plain(F.col("path")).alias("_path"))
+    folders = found.select(F.regexp_replace("_path", "/[^/]*$", "").alias("_path"))
+    there = found.unionByName(folders).distinct()
+    ingested = F.coalesce(F.get_json_object("meta", "$.is_ingested") == "true", F.lit(False))
+    return artifacts.where(~ingested).withColumn("_path", plain(F.col("container_uri"))).join(there, "_path", "left_anti").drop("_path")

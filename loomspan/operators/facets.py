@@ -152,3 +152,12 @@ def runs_with_value(runs: DataFrame, kv: DataFrame, condition: Column, limit: in
 
     out = runs.where("status = 'completed'").join(kv.where(condition).select(F.col("run_id").alias("id")).distinct(), "id", "left_semi").orderBy(*by_creation())
     return out if limit is None else out.limit(limit)
+
+
+def config_facets(facets: DataFrame, *, facet_id: str | None = None, namespace: str | None = None, schema_name: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Stored facet documents by id, namespace and schema, the newest first."""
+    for column, value in (("facet_id", facet_id), ("namespace", namespace), ("schema_name", schema_name)):
+        if value is not None:
+            facets = facets.where(F.col(column) == value)
+    out = facets.orderBy(F.col("created_at").desc_nulls_last(), F.col("facet_id"))
+    return out if limit is None else out.limit(limit)

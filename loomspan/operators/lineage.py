@@ -72,3 +72,11 @@ def connected_runs(links: DataFrame, run_id: str) -> DataFrame:
     """The runs that read what this run wrote."""
     out = links.where((F.col("run_id") == run_id) & (F.col("direction") == "output")).select("artifact_id")
     return links.where("direction = 'input'").join(out, "artifact_id", "left_semi").select("run_id").distinct()
+
+
+def print_tree(paths: list, labels: dict | None = None, show_run_ids: bool = True) -> str:
+    """Write the tree of :func:`format_tree` to the standard output, with or without the runs; returns it."""
+    text = format_tree(paths, labels)
+    text = text if show_run_ids else "\n".join(line.partition(" <- ")[0] for line in text.split("\n"))
+    print(text)
+    return text

@@ -181,3 +181,18 @@ def explain_misses(runs: DataFrame, history_of: DataFrame, recent: int = 20) ->
 
 def facet_filtered(runs: DataFrame, kv: DataFrame, predicates: Iterable[Predicate | str]) -> DataFrame:
     return having_all(runs, "id", kv, "run_id", predicates, key="key")
+
+
+def indexed(runs: DataFrame, field: str | None = None, facet: str | None = None, kv: DataFrame | None = None) -> dict:
+    """Runs of a bounded result (see the limit of :func:`find_runs`) by a field, or by the newest value of a facet; a value that occurs twice is an error."""
+    from loomspan.operators.facets import value_per_run
+
+    if (field is None) == (facet is None):
+        raise ValueError("runs are indexed by a field or by a facet")
+    named = runs.withColumn("_index", F.col(field)) if field else runs.join(value_per_run(kv, facet).select(F.col("run_id").alias("id"), F.col("value").alias("_index")), "id", "left")
+    out: dict = {}
+    for r in named.collect():
+        if r["_index"] in out:
+            raise ValueError(f"several runs have {field or facet} {r['_index']}")
+        out[r["_index"]] = r
+    return out

@@ -76,6 +76,15 @@ class RunSet:
         pairs = left.join(right, [left[f"l_{c}"].eqNullSafe(right[f"r_{c}"]) for c in on])
         return AlignedPair(pairs.select(*(F.col(f"l_{c}").alias(c) for c in on), F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")), list(on), self, other)
 
+    def __getitem__(self, at: int):
+        """The run at a place in the order of creation, the newest first."""
+        if at < 0:
+            raise IndexError("places count from 0")
+        found = self.runs.orderBy(*by_creation()).offset(at).limit(1).collect()
+        if not found:
+            raise IndexError(at)
+        return found[0]
+
     def to_frame(self, facets: Sequence[str] = ()) -> DataFrame:
         return self.with_fields(list(facets))
 
@@ -92,6 +101,14 @@ def diff_values(left: DataFrame, right: DataFrame, on: Sequence[str], include_eq
     return out if include_equal else out.where("status <> 'same'")
 
 
+def compare_metrics(left: DataFrame, right: DataFrame, on: Sequence[str], value: str = "value", decimals: int | None = None) -> DataFrame:
+    """(on, left, right, delta, ratio): a metric of two sides where both have it."""
+    a, b = left.select(*on, F.col(value).alias("left")), right.select(*on, F.col(value).alias("right"))
+    delta, ratio = F.col("right") - F.col("left"), F.try_divide(F.col("right"), F.col("left"))
+    shown = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
+    return a.join(b, list(on)).select(*on, "left", "right", shown(delta).alias("delta"), shown(ratio).alias("ratio"))
+
+
 @dataclass(frozen=True)
 class AlignedPair:
     """Pairs (on, left_id, right_id) of two sets of runs."""

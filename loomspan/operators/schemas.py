@@ -125,3 +125,59 @@ def render_class(name: str, schema: T.StructType, comments: dict[str, str] | Non
     if any("decimal." in x for x in lines):
         lines.insert(1, "import decimal")
     return "\n".join(lines) + "\n"
+
+
+def schema_links(relations: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(schema_id, from_table, from_field, to_table, to_field): the foreign keys of stored schemas under the name of their table."""
+    named = schemas.select(F.col("id").alias("schema_id"), F.get_json_object("profile", "$.table_name").alias("from_table"))
+    return relations.join(named, "schema_id").select("schema_id", "from_table", F.col("field_name").alias("from_field"), F.col("target_table").alias("to_table"), F.col("target_field").alias("to_field"))
+
+
+def observations_by(observations: DataFrame, artifacts: DataFrame, column: str, preferred: str | None = None) -> DataFrame:
+    """The observation that tells the schema of each content: of all artifacts with one ``column`` (hash or content_id), chosen by source and time."""
+    known = observations.join(artifacts.where(F.col(column).isNotNull()).select(F.col("id").alias("artifact_id"), F.col(column).alias("_content")), "artifact_id")
+    one = chosen_observations(known.withColumn("_artifact", F.col("artifact_id")).withColumn("artifact_id", F.col("_content")), preferred)
+    return one.withColumn(column, F.col("artifact_id")).withColumn("artifact_id", F.col("_artifact")).drop("_content", "_artifact")
+
+
+def schemas_like(fields: DataFrame, names: Iterable[str], compatible: bool = True, name: str = "name") -> DataFrame:
+    """(schema_id): the stored schemas whose field names are those of a model, or with ``compatible`` hold or are held by them."""
+    own = F.array(*(F.lit(n) for n in sorted(set(names))))
+    sets = fields.groupBy("schema_id").agg(F.collect_set(name).alias("names"))
+    more, less = F.size(F.array_except("names", own)) == 0, F.size(F.array_except(own, "names")) == 0
+    return sets.where((more | less) if compatible else (more & less)).select("schema_id")
+
+
+def declared_profile(table: str, fields: Iterable[dict], relations: Iterable[dict] = ()) -> tuple[str, dict[str, list[dict]]]:
+    """The id and the catalog rows of a schema that a user declares: its fields and their foreign keys (field_name, target_table, target_field)."""
+    listed = [{"ordinal_position": i, "nullable": True, **f} for i, f in enumerate(fields, 1)]
+    schema_id = sha256(canonical_json({"table_name": table, "fields": listed}))
+    return schema_id, {
+        "artifact_schema": [{"id": schema_id, "profile": canonical_json({"table_name": table}), "n_fields": len(listed)}],
+        "artifact_schema_field": [{"schema_id": schema_id, **f} for f in listed],
+        "artifact_schema_relation": [{"schema_id": schema_id, **r} for r in relations],
+    }
+
+
+def observe(catalog, artifact, df: DataFrame | None = None, source: str = "file", reuse: bool = True) -> str:
+    """Store the schema profile of an artifact and the observation; the id. A file whose content was observed before takes that schema unread."""
+    import uuid
+    from datetime import datetime, timezone
+
+    at = datetime.now(timezone.utc).replace(tzinfo=None)
+    seen = {"id": str(uuid.uuid4()), "artifact_id": artifact["id"], "run_id": artifact.get("run_id"), "source": source, "observed_at": at}
+    if reuse and artifact.get("hash"):
+        known = observations_by(catalog.read("artifact_schema_observation"), catalog.read("artifact").where(F.col("hash") == artifact["hash"]), "hash", source).head()
+        if known:
+            catalog.append("artifact_schema_observation", [seen | {"schema_id": known.schema_id}])
+            return known.schema_id
+    if df is None:
+        from loomspan.sources.drivers import load
+
+        df = load(catalog.spark, artifact["container_uri"], artifact["driver"])
+    schema_id, fields = profile(df)
+    if catalog.read("artifact_schema").where(F.col("id") == schema_id).isEmpty():
+        catalog.append("artifact_schema", [{"id": schema_id, "profile": canonical_json({"table_name": artifact["key"]}), "n_fields": len(fields), "created_at": at}])
+        catalog.append("artifact_schema_field", [{"schema_id": schema_id, **f} for f in fields])
+    catalog.append("artifact_schema_observation", [seen | {"schema_id": schema_id}])
+    return schema_id

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions import files
 from loomspan.operators import lineage
 from loomspan.operators.schemas import can_merge
 from loomspan.plans.catalog import KEYS, TABLES, Catalog
@@ -140,9 +141,16 @@ def export(catalog: Catalog, run_ids: Iterable[str], out: str, include_children:
     linked = shard.read("run_artifact_link").select(F.col("artifact_id").alias("id")).unionByName(catalog.read("artifact").join(runs.select(F.col("id").alias("run_id")), "run_id", "left_semi").select("id")).distinct()
     for table, column in OF_ARTIFACT.items():
         shard.replace(table, catalog.read(table).join(linked.select(F.col("id").alias(column)), column, "left_semi").select(*catalog.read(table).columns))
-    schemas = shard.read("artifact_schema_observation").select("schema_id").distinct()
-    shard.replace("artifact_schema", catalog.read("artifact_schema").join(schemas.withColumnRenamed("schema_id", "id"), "id", "left_semi"))
-    shard.replace("artifact_schema_field", catalog.read("artifact_schema_field").join(schemas, "schema_id", "left_semi"))
+    used = {
+        "artifact_schema": (shard.read("artifact_schema_observation").select(F.col("schema_id").alias("id")), ["id"]),
+        "artifact_schema_field": (shard.read("artifact_schema_observation").select("schema_id"), ["schema_id"]),
+        "artifact_schema_relation": (shard.read("artifact_schema_observation").select("schema_id"), ["schema_id"]),
+        "artifact_content": (shard.read("artifact").select("content_id"), ["content_id"]),
+        "config_facet": (shard.read("run_config_kv").select("facet_id", "namespace"), ["facet_id", "namespace"]),
+        "artifact_facet": (shard.read("artifact_kv").select("facet_id", "namespace"), ["facet_id", "namespace"]),
+    }
+    for table, (keys, on) in used.items():
+        shard.replace(table, catalog.read(table).join(keys.distinct(), on, "left_semi").select(*catalog.read(table).columns))
     if include_data:
         for table in _data_tables(catalog):
             rows = of_runs(catalog.read(table), runs)
@@ -189,7 +197,7 @@ def merge(catalog: Catalog, shard: Catalog, conflict: str = "error", dry_run: bo
             rows = rows.select(*(F.col(c).cast(target.schema[c].dataType) for c in common_columns(rows, target)))
             done[table] = rows.count()
             if not dry_run:
-                catalog.replace(table, target.unionByName(rows, allowMissingColumns=True))
+                catalog.append(table, rows)
         else:
             done[table] = rows.count()
             if not dry_run:
@@ -240,17 +248,17 @@ def stage_phase_from_meta(runs: DataFrame) -> DataFrame:
     return runs.withColumns({c: F.coalesce(F.col(c), F.get_json_object("meta", f"$.{c}")) for c in ("stage", "phase")})
 
 
-def write_json(catalog: Catalog, folder: str, run_id: str) -> Path:
+def write_json(catalog: Catalog, folder: str, run_id: str) -> str:
     """The snapshot file of one run, as :func:`rebuild_from_json` reads it."""
     run = catalog.read("run").where(F.col("id") == run_id).select(F.to_json(F.struct("*")).alias("j")).head()
     links = catalog.read("run_artifact_link").where(F.col("run_id") == run_id).select(F.col("artifact_id").alias("id"), "direction")
     rows = catalog.read("artifact").join(links, "id").select("direction", F.to_json(F.struct(*TABLES_ARTIFACT)).alias("j")).collect()
     doc = {"run": json.loads(run.j), **{f"{d}s": [json.loads(r.j) for r in rows if r.direction == d] for d in ("input", "output")}}
-    to = Path(folder) / f"{run_id}.json"
-    to.parent.mkdir(parents=True, exist_ok=True)
-    part = to.with_suffix(".part")
-    part.write_text(json.dumps(doc, ensure_ascii=False))
-    part.replace(to)
+    to = f"{folder.rstrip('/')}/{run_id}.json"
+    part = f"{folder.rstrip('/')}/.{run_id}.{uuid.uuid4().hex}"
+    files.write_text(catalog.spark, part, json.dumps(doc, ensure_ascii=False))
+    files.remove(catalog.spark, to)
+    files.move(catalog.spark, part, to)
     return to
 
 

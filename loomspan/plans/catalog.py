@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
-from collections.abc import Iterable, Sequence
-from pathlib import Path
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspan.functions import files
+from loomspan.operators.views import union_by_name
+from loomspan.session import stage
+
 _KV = "facet_id string, namespace string, {key} string, value_type string, value_str string, value_num double, value_bool boolean, value_json string, created_at timestamp_ntz"
 # The tables of a catalog and their columns.
 TABLES = {
@@ -40,44 +41,74 @@ def schema_of(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[table])
 
 
+class WriteConflict(RuntimeError):
+    """Another writer made the next version of a table first."""
+
+
 class Catalog:
-    """Tables under one folder. A write makes a new version of a table and then moves its pointer, so readers always see a
-    whole version; one writer at a time. Without Delta or the like there are no row updates: changes rewrite the table."""
+    """Tables under one folder of any file system that Spark can write.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
+    A table is a list of parts, each a folder of Parquet files that is written once; a version file names the parts and
+    their schemas. A write adds parts and then the next version file, which no one may overwrite: of two writers one
+    gets a WriteConflict, and an append tries again. Parts of earlier versions stay until :meth:`vacuum`, so readers of
+    an older version keep reading it. Parts of differing schemas are united on reading, with widened types, so a new
+    column rewrites nothing.
+    """
 
-    def _pointer(self, table: str) -> Path:
-        return self.root / f"{table}.version"
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, str(root).rstrip("/")
+        files.make_folder(spark, self.root)
+
+    def _versions(self, table: str) -> list[str]:
+        return [n for n in files.names(self.spark, f"{self.root}/{table}/_versions") if n.endswith(".json") and not n.startswith((".", "_"))]
+
+    def _parts(self, table: str) -> tuple[int, list[dict]]:
+        """The number and the parts of the current version; 0 and none for a table that isn't there. A version that is still being written doesn't count."""
+        for name in reversed(self._versions(table)):
+            try:
+                return int(name[: -len(".json")]), json.loads(files.read_text(self.spark, f"{self.root}/{table}/_versions/{name}") or "")["parts"]
+            except json.JSONDecodeError:
+                continue
+        return 0, []
+
+    def _commit(self, table: str, after: int, parts: list[dict]) -> None:
+        at = f"{self.root}/{table}/_versions/{after + 1:012d}.json"
+        if not files.write_text(self.spark, at, json.dumps({"parts": parts})):
+            raise WriteConflict(f"{table}: version {after + 1} is there already")
+
+    def _write(self, table: str, df: DataFrame, tags: dict[str, str] | None = None) -> dict:
+        name = uuid.uuid4().hex
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{table}/{name}")
+        return {"part": name, "schema": df.schema.json(), **({"tags": tags} if tags else {})}
 
     def path(self, table: str) -> str | None:
-        at = self._pointer(table)
-        return str(self.root / table / at.read_text()) if at.exists() else None
+        """The folder of a table, None if it isn't there."""
+        return f"{self.root}/{table}" if self._versions(table) else None
 
     def tables(self) -> list[str]:
-        return sorted(p.name[: -len(".version")] for p in self.root.glob("*.version"))
+        return [n for n in files.names(self.spark, self.root) if self._versions(n)]
+
+    def _read(self, table: str, parts: list[dict]) -> DataFrame:
+        groups: dict[str, list[str]] = {}
+        for p in parts:
+            groups.setdefault(p["schema"], []).append(f"{self.root}/{table}/{p['part']}")
+        scans = [self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*paths) for schema, paths in groups.items()]
+        return scans[0] if len(scans) == 1 else union_by_name(scans)
 
     def read(self, table: str) -> DataFrame:
         """The current version; a catalog table that was never written is empty."""
-        at = self.path(table)
-        if at is None:
+        _, parts = self._parts(table)
+        if not parts:
             return self.spark.createDataFrame([], schema_of(table))
-        return self.spark.read.schema(schema_of(table)).parquet(at) if table in TABLES else self.spark.read.parquet(at)
-
-    def replace(self, table: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        version = uuid.uuid4().hex
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(str(self.root / table / version))
-        old, new = self.path(table), self._pointer(table).with_suffix(".new")
-        new.write_text(version)
-        os.replace(new, self._pointer(table))
-        if old:
-            shutil.rmtree(old, ignore_errors=True)
+        return self._fitted(table, self._read(table, parts)) if table in TABLES else self._read(table, parts)
+
+    def replace(self, table: str, df: DataFrame) -> None:
+        """A new version that holds only ``df``."""
+        after, _ = self._parts(table)
+        self._commit(table, after, [self._write(table, df)])
 
     def drop(self, table: str) -> None:
-        self._pointer(table).unlink(missing_ok=True)
-        shutil.rmtree(self.root / table, ignore_errors=True)
+        files.remove(self.spark, f"{self.root}/{table}")
 
     def _fitted(self, table: str, rows: DataFrame | Iterable[dict]) -> DataFrame:
         schema = schema_of(table)
@@ -85,39 +116,78 @@ class Catalog:
             rows = self.spark.createDataFrame([[r.get(f.name) for f in schema] for r in rows], schema)
         return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
-    def append(self, table: str, rows: DataFrame | Iterable[dict]) -> None:
-        """Add rows to the current version as further files, without rewriting it."""
-        df, at = self._fitted(table, rows), self.path(table)
-        if at is None:
-            self.replace(table, df)
-        else:
-            df.write.mode("append").option("compression", "zstd").parquet(at)
+    def append(self, table: str, rows: DataFrame | Iterable[dict], tags: dict[str, str] | None = None, tries: int = 20) -> None:
+        """Add rows as a further part, without rewriting any; ``tags`` are noted with the part."""
+        part = self._write(table, self._fitted(table, rows) if table in TABLES else rows, tags)
+        for left in reversed(range(tries)):
+            after, parts = self._parts(table)
+            try:
+                return self._commit(table, after, [*parts, part])
+            except WriteConflict:
+                if not left:
+                    raise
 
     def upsert(self, table: str, rows: DataFrame | Iterable[dict]) -> None:
-        """Replace the rows of equal key by the new ones; of several new ones the last by its columns' order is kept."""
+        """Replace the rows of equal key by the new ones; of several new ones the last by its columns' order is kept.
+
+        Only parts that hold one of the keys are rewritten.
+        """
         keys = KEYS[table]
         new = self._fitted(table, rows)
         rest = [c for c in new.columns if c not in keys]
-        one = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("v")).select(*keys, "v.*").select(*new.columns)
-        old = self.read(table)
-        kept = old.join(one.select(*(F.col(k).alias(f"_{k}") for k in keys)), [old[k].eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
-        self.replace(table, kept.unionByName(one))
+        one = stage(new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("v")).select(*keys, "v.*").select(*new.columns), "upsert")
+        wanted = one.select(*(F.col(k).alias(f"_{k}") for k in keys))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        after, parts = self._parts(table)
+        hit: set[str] = set()
+        if parts:
+            at = F.element_at(F.split("_metadata.file_path", "/"), -2)
+            held = self.spark.read.schema(schema_of(table)).parquet(*(f"{self.root}/{table}/{p['part']}" for p in parts))
+            hit = {r[0] for r in held.select(*keys, at.alias("_part")).join(wanted, same, "left_semi").select("_part").distinct().collect()}
+        old = [p for p in parts if p["part"] in hit]
+        if old:
+            one = self._fitted(table, self._read(table, old)).join(wanted, same, "left_anti").unionByName(one)
+        self._commit(table, after, [*(p for p in parts if p["part"] not in hit), self._write(table, one)])
+
+    def drop_parts(self, table: str, tag: str, values: Iterable[str]) -> int:
+        """Leave out the parts that carry one of the values of a tag; returns how many."""
+        after, parts = self._parts(table)
+        gone = set(values)
+        kept = [p for p in parts if p.get("tags", {}).get(tag) not in gone]
+        if len(kept) < len(parts):
+            if not kept:
+                kept = [self._write(table, self._read(table, parts).limit(0))]
+            self._commit(table, after, kept)
+        return len(parts) - len(kept)
 
     def snapshot(self, to: str, metadata: dict | None = None) -> None:
         """A copy of all current versions, with a note beside it; the copy appears at once or not at all."""
-        target = Path(to)
-        work = target.with_name(f"{target.name}.{uuid.uuid4().hex}")
+        work = f"{to.rstrip('/')}.{uuid.uuid4().hex}"
+        copied = Catalog(self.spark, work)
         for table in self.tables():
-            shutil.copytree(self.path(table), work / table / "1")
-            (work / f"{table}.version").write_text("1")
-        (work / "snapshot.json").write_text(json.dumps(metadata or {}, default=str))
-        if target.exists():
-            shutil.rmtree(target)
-        os.replace(work, target)
+            _, parts = self._parts(table)
+            for p in parts:
+                files.copy(self.spark, f"{self.root}/{table}/{p['part']}", f"{work}/{table}/{p['part']}")
+            copied._commit(table, 0, parts)
+        files.write_text(self.spark, f"{work}/snapshot.json", json.dumps(metadata or {}, default=str))
+        files.remove(self.spark, to)
+        files.move(self.spark, work, to)
 
     def compact(self, table: str, target_bytes: int = 128 * 2**20) -> None:
-        """Rewrite a table into files of about ``target_bytes``."""
-        at = self.path(table)
-        if at:
-            size = sum(p.stat().st_size for p in Path(at).rglob("*.parquet"))
+        """Rewrite a table as one part of files of about ``target_bytes``."""
+        _, parts = self._parts(table)
+        if parts:
+            size = sum(files.size(self.spark, f"{self.root}/{table}/{p['part']}") for p in parts)
             self.replace(table, self.read(table).repartition(max(1, size // target_bytes)))
+
+    def vacuum(self, table: str, keep: int = 1) -> int:
+        """Delete all but the last ``keep`` versions and the parts that only they name; their readers must have ended. Returns the parts deleted."""
+        versions = self._versions(table)
+        folder = f"{self.root}/{table}"
+        kept = {p["part"] for v in versions[-keep:] for p in json.loads(files.read_text(self.spark, f"{folder}/_versions/{v}"))["parts"]}
+        for v in versions[:-keep]:
+            files.remove(self.spark, f"{folder}/_versions/{v}")
+        gone = [n for n in files.names(self.spark, folder) if n != "_versions" and n not in kept]
+        for n in gone:
+            files.remove(self.spark, f"{folder}/{n}")
+        return len(gone)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import shutil
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import files
 from loomspan.plans.catalog import Catalog
 from loomspan.runtime.tracker import RunResult, file_hash
 from loomspan.sources.sinks import materialize
@@ -24,26 +25,29 @@ class Identity:
     found: str | None = None
 
 
-def check_identity(artifact: Mapping, path: str, fast: bool = False) -> Identity:
+def check_identity(artifact: Mapping, path: str, fast: bool = False, spark: SparkSession | None = None) -> Identity:
     """Whether the bytes at ``path`` are those of the artifact."""
     try:
-        found = file_hash(path, fast)
-    except OSError:
+        found = file_hash(path, fast, spark)
+    except (OSError, AnalysisException):
         return Identity("unreadable", artifact.get("hash"))
     if not artifact.get("hash"):
         return Identity("unverified", None, found)
     return Identity("verified" if found == artifact["hash"] else "mismatched", artifact["hash"], found)
 
 
-def copy_whole(source: str, to: str) -> None:
-    """Copy a file or folder so that it appears at once."""
-    target = Path(to)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-    (shutil.copytree if Path(source).is_dir() else shutil.copy2)(source, part)
-    if target.exists():
-        shutil.rmtree(target) if target.is_dir() else target.unlink()
-    part.rename(target)
+def copy_whole(spark: SparkSession, source: str, to: str) -> None:
+    """Copy a file or folder, also between file systems, so that it appears at once."""
+    folder, name = to.rstrip("/").rpartition("/")[::2]
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    files.make_folder(spark, folder)
+    files.copy(spark, source, part)
+    files.remove(spark, to)
+    files.move(spark, part, to)
+
+
+def base_name(path: str) -> str:
+    return path.rstrip("/").rpartition("/")[2]
 
 
 def outputs_of(catalog: Catalog, run_id: str) -> list[dict]:
@@ -62,32 +66,47 @@ def hydrate(catalog: Catalog, run_id: str, target_root: str, keys: Iterable[str]
     for a in outputs_of(catalog, run_id):
         if wanted is not None and a["key"] not in wanted:
             continue
-        to = Path(target_root) / Path(a["container_uri"]).name
-        places = [(a["container_uri"], "copied"), *((str(Path(root) / run_id / Path(a["container_uri"]).name), "archived") for root in archives)]
-        found = next(((p, how) for p, how in places if Path(p).exists() and (not validate or check_identity(a, p).status in ("verified", "unverified"))), None)
-        if preserve and to.exists():
+        spark, name = catalog.spark, base_name(a["container_uri"])
+        to = f"{target_root.rstrip('/')}/{name}"
+        places = [(a["container_uri"], "copied"), *((f"{root.rstrip('/')}/{run_id}/{name}", "archived") for root in archives)]
+        found = next(((p, how) for p, how in places if files.exists(spark, p) and (not validate or check_identity(a, p, spark=spark).status in ("verified", "unverified"))), None)
+        if preserve and files.exists(spark, to):
             done[a["key"]] = "preserved"
         elif found:
-            copy_whole(found[0], str(to))
+            copy_whole(spark, found[0], to)
             done[a["key"]] = found[1]
         elif catalog.path(a["key"]) and not catalog.read(a["key"]).where(F.col("prov_artifact_id") == a["id"]).isEmpty():
-            materialize(catalog.read(a["key"]), a["id"], str(to), a["driver"], overwrite=True)
+            materialize(catalog.read(a["key"]), a["id"], to, a["driver"], overwrite=True)
             done[a["key"]] = "rebuilt"
         else:
             done[a["key"]] = "missing"
     return done
 
 
+def restore(catalog: Catalog, artifact: Mapping, archives: Iterable[str] = ()) -> str:
+    """Bring an artifact that is gone back to its own place, from an archive or its ingested rows; returns how."""
+    spark, to = catalog.spark, artifact["container_uri"]
+    for root in archives:
+        source = f"{root.rstrip('/')}/{artifact.get('run_id')}/{base_name(to)}"
+        if files.exists(spark, source):
+            copy_whole(spark, source, to)
+            return "archived"
+    if catalog.path(artifact["key"]) and not (rows := catalog.read(artifact["key"]).where(F.col("prov_artifact_id") == artifact["id"])).isEmpty():
+        materialize(rows, artifact["id"], to, artifact["driver"], overwrite=True)
+        return "rebuilt"
+    raise FileNotFoundError(to)
+
+
 def archive(catalog: Catalog, run_id: str, root: str, keys: Iterable[str] | None = None, move: bool = False) -> dict[str, str]:
     """Copy or move the outputs of a run into an archive; the catalog notes the new place of what was moved."""
     wanted, places = None if keys is None else set(keys), {}
     for a in outputs_of(catalog, run_id):
-        if (wanted is None or a["key"] in wanted) and Path(a["container_uri"]).exists():
-            to = str(Path(root) / run_id / Path(a["container_uri"]).name)
-            copy_whole(a["container_uri"], to)
+        if (wanted is None or a["key"] in wanted) and files.exists(catalog.spark, a["container_uri"]):
+            to = f"{root.rstrip('/')}/{run_id}/{base_name(a['container_uri'])}"
+            copy_whole(catalog.spark, a["container_uri"], to)
             places[a["id"]] = to
             if move:
-                shutil.rmtree(a["container_uri"]) if Path(a["container_uri"]).is_dir() else Path(a["container_uri"]).unlink()
+                files.remove(catalog.spark, a["container_uri"])
     if move and places:
         moved = catalog.spark.createDataFrame(list(places.items()), "id string, _to string")
         rows = catalog.read("artifact").join(F.broadcast(moved), "id", "left")
@@ -95,11 +114,11 @@ def archive(catalog: Catalog, run_id: str, root: str, keys: Iterable[str] | None
     return places
 
 
-def stage_inputs(paths: Mapping[str, str], folder: str) -> dict[str, str]:
+def stage_inputs(spark: SparkSession, paths: Mapping[str, str], folder: str) -> dict[str, str]:
     """Copies of input files under a run's folder, by key."""
-    staged = {k: str(Path(folder) / Path(p).name) for k, p in paths.items()}
+    staged = {k: f"{folder.rstrip('/')}/{base_name(p)}" for k, p in paths.items()}
     for k, p in paths.items():
-        copy_whole(p, staged[k])
+        copy_whole(spark, p, staged[k])
     return staged
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import uuid
 import zipfile
-from collections.abc import Callable
-from pathlib import Path
+from collections.abc import Callable, Iterator
+from pathlib import PurePosixPath
 from typing import Any, Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions import files
 from loomspan.operators.gtfs import typed_member
 
 
@@ -45,35 +49,59 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, orient: str |
 JUNK = ("readme", "license", "._")
 
 
-def feed_members(path: str) -> list[str]:
-    """The members of a transit feed (folder or zip) that are tables: .txt or .csv with a header of several columns."""
-    at = Path(path)
-    if not at.exists():
+def _zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(name, head): the files in a zip and their first lines, read by one executor."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [i.filename for i in z.infolist() if not i.is_dir()]
+                    yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.string()), "head": pa.array([z.open(n).readline(1 << 16).decode("utf-8", "replace") for n in names], pa.string())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, "name string, head string")
+
+
+def _folder_members(spark: SparkSession, path: str) -> DataFrame:
+    """(name, head): the files of a folder and their first lines."""
+    root = files.plain_path(path).rstrip("/") + "/"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    at = F.regexp_replace("path", files.FILE_SCHEME, "/")
+    return found.select(F.substring(at, len(root) + 1, 1 << 20).alias("name"), F.substring_index(F.decode(F.substring("content", 1, 1 << 16), "utf-8"), "\n", 1).alias("head"))
+
+
+def feed_members(spark: SparkSession, path: str) -> list[str]:
+    """The members of a transit feed (folder or zip, on any file system) that are tables: .txt or .csv with a header of several columns."""
+    if not files.exists(spark, path):
         raise FileNotFoundError(path)
-    if at.is_dir():
-        names = [p.relative_to(at).as_posix() for p in sorted(at.rglob("*")) if p.is_file()]
-        head = lambda n: (at / n).open("rb").readline()
-    elif zipfile.is_zipfile(at):
-        names = [i.filename for i in sorted(zipfile.ZipFile(at).infolist(), key=lambda i: i.filename) if not i.is_dir()]
-        head = lambda n: zipfile.ZipFile(at).open(n).readline()
-    else:
+    if not files.is_folder(spark, path) and not path.lower().endswith(".zip"):
         raise ValueError(f"neither a folder nor a zip file: {path}")
-    real = [n for n in names if n.lower().endswith((".txt", ".csv")) and "__MACOSX" not in n and not any(p.startswith(".") for p in n.split("/")) and not Path(n).name.lower().startswith(JUNK)]
-    return [n for n in real if b"," in head(n) or b"\t" in head(n)]
+    listed = _folder_members(spark, path) if files.is_folder(spark, path) else _zip_members(spark, path)
+    name, base = F.lower("name"), F.substring_index(F.lower("name"), "/", -1)
+    junk = F.col("name").contains("__MACOSX") | F.col("name").rlike(r"(^|/)\.") | base.rlike("^(?:" + "|".join(JUNK) + ")")
+    table = (name.endswith(".txt") | name.endswith(".csv")) & ~junk & F.col("head").rlike("[,\t]")
+    return [r.name for r in listed.where(table).orderBy("name").collect()]
 
 
 def read_feed_member(spark: SparkSession, path: str, member: str, columns: list[str] | None = None) -> DataFrame:
-    """One table of a feed, typed by its columns; empty texts are null. Members of a zip file are unpacked beside it."""
-    at = Path(path)
-    if at.is_dir():
-        source = str(at / member)
+    """One table of a feed, typed by its columns; empty texts are null. A member of a zip file is unpacked into the shared folder."""
+    if files.is_folder(spark, path):
+        source = f"{path.rstrip('/')}/{member}"
     else:
         from loomspan.session import shared_dir
 
-        folder = Path(shared_dir(spark).replace("file://", "").replace("file:", "")) / "feeds" / f"{at.stem}-{at.stat().st_mtime_ns}"
-        source = zipfile.ZipFile(at).extract(member, folder)
+        source = f"{shared_dir(spark)}/feeds/{uuid.uuid4().hex}"
+
+        def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column(0).to_pylist():
+                    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as f:
+                        while part := f.readlines(1 << 22):
+                            yield pa.RecordBatch.from_pydict({"value": pa.array([line.decode("utf-8", "replace").rstrip("\r\n") for line in part], pa.string())})
+
+        spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string").write.text(source)
     df = spark.read.csv(source, header=True, inferSchema=False, enforceSchema=False)
-    df = typed_member(df.toDF(*(c.lstrip("﻿").strip() for c in df.columns)), Path(member).stem.lower())
+    df = typed_member(df.toDF(*(c.lstrip("\ufeff").strip() for c in df.columns)), member.rpartition("/")[2].rpartition(".")[0].lower())
     lost = [c for c in columns or [] if c not in df.columns]
     if lost:
         raise KeyError(f"columns not in {member}: {', '.join(sorted(lost))}")
@@ -127,7 +155,7 @@ def register(name: str, driver: Driver, extensions: tuple[str, ...] = ()) -> Non
 
 def driver_for(path: str) -> str:
     """The driver of a path by its last two extensions, or else its last one."""
-    suffixes = [s.lower() for s in Path(path.rstrip("/")).suffixes]
+    suffixes = [s.lower() for s in PurePosixPath(path.rstrip("/")).suffixes]
     for ext in ("".join(suffixes[-2:]), "".join(suffixes[-1:])):
         if ext in EXTENSIONS:
             return EXTENSIONS[ext]
@@ -161,3 +189,29 @@ def load_artifact(spark: SparkSession, path: str, driver: str, hot: DataFrame |
     if hot is not None and fallback == "always":
         return hot.where(F.col("prov_artifact_id") == artifact_id)
     raise FileNotFoundError(path)
+
+
+def load_pandas(spark: SparkSession, path: str, driver: str | None = None, limit: int | None = None, **options: Any):
+    """A file as a pandas frame on the driver; ``limit`` bounds its rows."""
+    df = load(spark, path, driver, **options)
+    return (df if limit is None else df.limit(limit)).toPandas()
+
+
+def preview(spark: SparkSession, path: str, driver: str | None = None, limit: int = 5) -> DataFrame:
+    """The first rows of a file."""
+    return load(spark, path, driver).limit(limit)
+
+
+def file_batches(spark: SparkSession, path: str, driver: str | None = None, rows: int = 50_000, max_rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A file in batches of at most ``rows`` rows, one partition at a time on the driver; ``max_rows`` ends it."""
+    df = load(spark, path, driver)
+    df = df if max_rows is None else df.limit(max_rows)
+    schema, batch = pa.schema([]), []
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        batch.append(r.asDict(recursive=True))
+        if len(batch) == rows:
+            table = pa.Table.from_pylist(batch)
+            schema, batch = table.schema, []
+            yield from table.combine_chunks().to_batches()
+    if batch:
+        yield from pa.Table.from_pylist(batch, schema=schema if len(schema) else None).combine_chunks().to_batches()

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from datetime import datetime, timezone
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomspan.functions import files
 from loomspan.operators.schemas import contract_issues
-from loomspan.operators.views import SYSTEM, cast_to, union_by_name
+from loomspan.operators.views import SYSTEM, cast_to
 from loomspan.plans.catalog import Catalog
 
 
@@ -29,8 +27,9 @@ def with_system(df: DataFrame, run_id: str, artifact_id: str, year: int | None =
 
 
 def ingest(catalog: Catalog, table: str, df: DataFrame, run_id: str, artifact_id: str, year: int | None = None, iteration: int | None = None, contract: T.StructType | None = None, additive: bool = False, content_hash: str | None = None) -> bool:
-    """Append rows with their system columns. Under a contract extra columns are an error unless additive, and types must
-    fit; without one the table's schema grows and widens. Content that is there already is not ingested again (False)."""
+    """Append rows with their system columns, as a part of the table that is tagged with the run. Under a contract extra
+    columns are an error unless additive, and types must fit; without one the table's schema grows and widens. Content
+    that is there already is not ingested again (False)."""
     if contract is not None:
         issues = contract_issues(df, contract, additive)
         if issues:
@@ -40,35 +39,31 @@ def ingest(catalog: Catalog, table: str, df: DataFrame, run_id: str, artifact_id
     rows = with_system(df, run_id, artifact_id, year, iteration)
     if content_hash is not None:
         rows = rows.withColumn("prov_content_hash", F.lit(content_hash))
-    if catalog.path(table) is None:
-        catalog.replace(table, rows)
-        return True
-    old = catalog.read(table)
-    if content_hash is not None and "prov_content_hash" in old.columns and not old.where(F.col("prov_content_hash") == content_hash).limit(1).isEmpty():
-        return False
-    if rows.schema.names == old.schema.names and all(a.dataType == b.dataType for a, b in zip(rows.schema, old.schema)):
-        rows.write.mode("append").option("compression", "zstd").parquet(catalog.path(table))
-    else:
-        catalog.replace(table, union_by_name([old, rows]))
+    if content_hash is not None and catalog.path(table):
+        old = catalog.read(table)
+        if "prov_content_hash" in old.columns and not old.where(F.col("prov_content_hash") == content_hash).limit(1).isEmpty():
+            return False
+    catalog.append(table, rows, {"run_id": run_id, "artifact_id": artifact_id})
     return True
 
 
 def write_single(df: DataFrame, path: str, driver: str = "parquet", overwrite: bool = False) -> None:
     """One file of a small frame, or else (more than one partition) a folder; it appears whole or not at all."""
-    to = Path(path)
-    if to.exists() and not overwrite:
+    spark, folder, name = df.sparkSession, *path.rstrip("/").rpartition("/")[::2]
+    there = files.exists(spark, path)
+    if there and not overwrite:
         raise FileExistsError(path)
-    part = to.with_name(f".{to.name}.{uuid.uuid4().hex}")
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
     writer = df.write.option("header", True) if driver == "csv" else df.write
-    getattr(writer, driver)(str(part))
-    if to.exists():
-        shutil.rmtree(to) if to.is_dir() else to.unlink()
-    files = [p for p in part.iterdir() if p.name.startswith("part-")]
-    if len(files) == 1:
-        os.replace(files[0], to)
-        shutil.rmtree(part)
+    getattr(writer, driver)(part)
+    if there:
+        files.remove(spark, path)
+    written = [n for n in files.names(spark, part) if n.startswith("part-")]
+    if len(written) == 1:
+        files.move(spark, f"{part}/{written[0]}", path)
+        files.remove(spark, part)
     else:
-        os.replace(part, to)
+        files.move(spark, part, path)
 
 
 def materialize(hot: DataFrame, artifact_id: str, path: str, driver: str = "parquet", overwrite: bool = False) -> None:

@@ -144,7 +144,7 @@ def feed(tmp_path):
 
 
 def test_feed_slice(spark, feed):
-    members = drivers.feed_members(feed)
+    members = drivers.feed_members(spark, feed)
     assert "license.txt" not in members and "notes.txt" not in members and len(members) == 6
     tables = {m[:-4]: drivers.read_feed_member(spark, feed, m) for m in members}
     assert dict(tables["routes"].dtypes)["route_type"] == "bigint" and ids(tables["routes"], "route_type") == {3, None}
