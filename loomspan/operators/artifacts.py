@@ -84,7 +84,7 @@ def fill_content_ids(artifacts: DataFrame) -> DataFrame:
     return artifacts.withColumn("content_id", F.coalesce("content_id", F.when(F.col("hash").isNotNull(), derived)))
 
 
-def latest_by_hash(artifacts: DataFrame, driver: str | None = None) -> DataFrame:
+def newest_per_hash(artifacts: DataFrame, driver: str | None = None) -> DataFrame:
     """The newest artifact of each content hash, on wish of one driver."""
     known = artifacts.where(F.col("hash").isNotNull()) if driver is None else artifacts.where(F.col("hash").isNotNull() & (F.col("driver") == driver))
     return first_of_group(known, ["hash"], by_creation())

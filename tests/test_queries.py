@@ -7,10 +7,10 @@ import pyarrow.parquet as pq
 import pytest
 from helpers import duck, rows, sql_rows
 
-from loomspan.queries import core, more, problems
+from loomspan.queries import core, engine, more, problems
 
-SQL = core.SQL | more.SQL | problems.SQL
-ALL = core.QUERIES | more.QUERIES | problems.QUERIES
+SQL = core.SQL | more.SQL | engine.SQL | problems.SQL
+ALL = core.QUERIES | more.QUERIES | engine.QUERIES | problems.QUERIES
 FOUND = {
     "p1": ["run_id", "difference"],
     "p2": ["table_name", "ref_field", "holder_id", "target_id", "kind", "period"],
@@ -54,7 +54,7 @@ def test_problem_query_on_empty_tables(spark, empty_folder, name):
     assert ALL[name](spark, empty_folder).count() == 0
 
 
-@pytest.mark.parametrize("name", core.QUERIES | more.QUERIES)
+@pytest.mark.parametrize("name", core.QUERIES | more.QUERIES | engine.QUERIES)
 def test_core_query_on_empty_tables(spark, empty_folder, name):
     ALL[name](spark, empty_folder).collect()
 

@@ -321,7 +321,7 @@ def test_schemas_of_contents(spark, tracker):
 
 def test_small_lookups(spark, tmp_path, capsys):
     known = spark.createDataFrame([("a", "h", "csv", T0, "/d/x.csv", None), ("b", "h", "csv", datetime(2026, 1, 1), "file:///d/y", None), ("c", None, "csv", T0, "/d/z", '{"is_ingested": true}'), ("d", "g", "csv", T0, "/d/gone", "{}")], "id string, hash string, driver string, created_at timestamp_ntz, container_uri string, meta string")
-    assert values(artifacts.latest_by_hash(known), "hash", "id") == {("h", "b"), ("g", "d")}
+    assert values(artifacts.newest_per_hash(known), "hash", "id") == {("h", "b"), ("g", "d")}
     listing = spark.createDataFrame([("file:/d/x.csv",), ("/d/y/part-1.parquet",)], "path string")
     assert values(artifacts.missing_files(known, listing), "id") == {"d"}
     few = spark.createDataFrame([("r1", 2030, T0), ("r2", 2040, datetime(2026, 1, 1))], "id string, year int, created_at timestamp_ntz")
