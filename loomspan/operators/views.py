@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.functions.files import FILE_SCHEME, exists, is_folder, plain_path
+from loomspan.functions.files import FILE_SCHEME, exists, is_folder, names, plain_path
 from loomspan.operators.facets import facet_type
 from loomspan.operators.skew import union_all
 
@@ -120,11 +120,19 @@ def present(spark: SparkSession, sources: Sequence[Source], missing: str = "warn
     """The tabular sources whose files are there; ``missing`` is warn, error or skip_silent."""
     if missing not in ("warn", "error", "skip_silent"):
         raise ValueError(f"unknown policy for missing files: {missing}")
-    out = []
+    out, listed = [], {}
+
+    def there(path: str) -> bool:
+        """Whether a file is there; each folder is listed once, however many files of a view it holds."""
+        folder, name = path.rstrip("/").rpartition("/")[::2]
+        if folder not in listed:
+            listed[folder] = set(names(spark, folder)) if folder else None
+        return name in listed[folder] if listed[folder] is not None else exists(spark, path)
+
     for s in sources:
         if s.driver not in TABULAR:
             continue
-        if exists(spark, s.path):
+        if there(s.path):
             out.append(s)
         elif missing == "error":
             raise FileNotFoundError(s.path)

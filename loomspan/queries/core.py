@@ -471,6 +471,15 @@ def lineage_reach(spark, folder):
     return lineage.lineage_nodes(known, links(spark, folder), start).select("root", "artifact_id", "run_id")
 
 
+@query(f"""WITH {CURRENT_ARTIFACTS}, {LINKS}, i AS (SELECT DISTINCT run_id, artifact_id FROM lnk WHERE direction = 'input')
+  SELECT id AS root, id AS artifact_id, run_id, 0 AS depth FROM art WHERE run_id IS NOT NULL UNION ALL SELECT a.id, i.artifact_id, b.run_id, 1 FROM art a JOIN i ON i.run_id = a.run_id LEFT JOIN art b ON b.id = i.artifact_id WHERE i.artifact_id IS NOT NULL AND i.artifact_id <> a.id""")
+def lineage_inputs(spark, folder):
+    """What went directly into each artifact that a run made."""
+    known = current_artifacts(spark, folder)
+    start = known.where("run_id IS NOT NULL").select(F.col("id").alias("artifact_id"))
+    return lineage.lineage_nodes(known, links(spark, folder).where("artifact_id IS NOT NULL"), start, max_depth=1)
+
+
 # --- identities ---------------------------------------------------------------------------------------------------
 
 

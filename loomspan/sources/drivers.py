@@ -108,38 +108,89 @@ def read_feed_member(spark: SparkSession, path: str, member: str, columns: list[
     return df.select(*columns) if columns else df
 
 
+#: About so many cells of an array are read by one task at a time.
+SLAB_CELLS = 2_000_000
+
+
+def slabs(spark: SparkSession, parts: list[tuple[str, int, int]], read: Callable[[str, int, int], Any], schema: str) -> DataFrame:
+    """The rows that ``read(name, start, stop)`` gives, as pandas frames, for each of ``parts``; every part is a task of its own."""
+
+    def each(batches: Iterator[Any]) -> Iterator[Any]:
+        for batch in batches:
+            for name, start, stop in zip(batch["name"], batch["start"], batch["stop"]):
+                yield read(name, int(start), int(stop))
+
+    table = spark.createDataFrame(parts, "name string, start long, stop long")
+    return table.repartition(max(1, min(len(parts), 10_000)), "name", "start").mapInPandas(each, schema)
+
+
+def ranges(name: str, rows: int, cells_a_row: int) -> list[tuple[str, int, int]]:
+    """Ranges of rows of about SLAB_CELLS cells."""
+    step = max(1, SLAB_CELLS // max(1, cells_a_row))
+    return [(name, at, min(rows, at + step)) for at in range(0, rows, step)]
+
+
+def matrix_cells(name: str, slab: Any, start: int):
+    """Cells of some rows of a matrix in long form: matrix, row, col, value."""
+    import numpy as np
+    import pandas as pd
+
+    values = np.asarray(slab, dtype=float).reshape(len(slab), -1)
+    i, j = np.indices(values.shape)
+    return pd.DataFrame({"matrix": name, "row": (i + start).ravel(), "col": j.ravel(), "value": values.ravel()})
+
+
 def read_hdf5(spark: SparkSession, path: str, table_path: str, columns: list[str] | None = None, where: str | None = None, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Rows of one HDF5 table, read by the executors in ranges; the driver reads one row for the schema."""
     import pandas as pd
 
-    df = spark.createDataFrame(pd.read_hdf(path, table_path, start=start, stop=stop, columns=columns))
+    with pd.HDFStore(path, "r") as store:
+        rows = int(store.get_storer(table_path).nrows or len(store[table_path]))
+    rows = rows if stop is None else min(rows, stop)
+    head = spark.createDataFrame(pd.read_hdf(path, table_path, start=start, stop=min(rows, start + 1), columns=columns))
+    parts = [(n, a + start, b + start) for n, a, b in ranges(table_path, max(0, rows - start), len(head.columns))]
+    df = slabs(spark, parts, lambda n, a, b: pd.read_hdf(path, n, start=a, stop=b, columns=columns).reset_index(drop=True), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head.schema)) if parts else head.limit(0)
     return df.where(where) if where else df
 
 
 def read_array(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
-    """Cells of a zarr or netCDF store in long form: variable, one column per dimension, value."""
+    """Cells of a zarr or netCDF store in long form: variable, one column per dimension, value. Slabs of the first dimension are read by the executors."""
     import xarray
 
-    data = (xarray.open_zarr if path.endswith(".zarr") else xarray.open_dataset)(path)
-    parts = []
-    for name in variables or list(data.data_vars):
-        long = data[name].to_dataframe(name="value").reset_index()
-        parts.append(spark.createDataFrame(long).withColumn("variable", F.lit(name)))
     from loomspan.operators.views import union_by_name
 
+    open_store = lambda: xarray.open_zarr(path) if path.rstrip("/").endswith(".zarr") else xarray.open_dataset(path)
+
+    def cells(name: str, start: int, stop: int):
+        with open_store() as store:
+            a = store[name]
+            return (a.isel({a.dims[0]: slice(start, stop)}) if a.dims else a).to_dataframe(name="value").reset_index().assign(variable=name)
+
+    parts = []
+    with open_store() as store:
+        shapes = {str(n): tuple(map(int, store[n].shape)) for n in variables or list(store.data_vars)}
+    for name, shape in shapes.items():
+        first = spark.createDataFrame(cells(name, 0, 1).head(1))
+        rows, rest = (shape[0], 1) if shape else (1, 1)
+        for n in shape[1:]:
+            rest *= n
+        parts.append(slabs(spark, ranges(name, rows, rest), cells, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema)))
     return union_by_name(parts)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of an OpenMatrix file: matrix, row, col, value."""
-    import h5py
-    import numpy as np
+    """Cells of an OpenMatrix file: matrix, row, col, value. Ranges of rows are read by the executors."""
+    from loomspan.sources.containers import metadata_rows
+
+    def cells(at: str, start: int, stop: int):
+        import h5py
+
+        with h5py.File(path) as f:
+            return matrix_cells(at.rpartition("/")[2], f[at][start:stop], start)
 
-    rows = []
-    with h5py.File(path) as f:
-        for name, m in f["data"].items():
-            i, j = np.indices(m.shape)
-            rows += zip([name] * m.size, i.ravel().tolist(), j.ravel().tolist(), m[:].ravel().astype(float).tolist())
-    return spark.createDataFrame(rows, "matrix string, row int, col int, value double")
+    found = [r for r in metadata_rows(spark, [path], "openmatrix").collect() if r.matrix_path.startswith("/data/") and r.n_cols]
+    parts = [p for r in found for p in ranges(r.matrix_path, r.n_rows, r.n_cols)]
+    return slabs(spark, parts, cells, "matrix string, row long, col long, value double")
 
 
 DRIVERS: dict[str, Callable] = {"parquet": read_parquet, "csv": read_csv, "json": read_json, "gtfs": read_feed_member, "h5": read_hdf5, "h5_table": read_hdf5, "zarr": read_array, "netcdf": read_array, "openmatrix": read_matrix}

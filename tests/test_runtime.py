@@ -252,6 +252,17 @@ def test_files_are_read_by_executors(spark, tmp_path):
         containers.rows_of_files(paths.limit(1), lambda p: (_ for _ in ()).throw(OSError("no such")), containers.H5_TABLES).collect()
 
 
+def test_arrays_are_read_in_slabs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(drivers, "SLAB_CELLS", 10)
+    data = np.arange(21.0).reshape(7, 3)
+    np.save(tmp_path / "m.npy", data)
+    at = str(tmp_path / "m.npy")
+    parts = drivers.ranges("m", 7, 3)
+    assert parts == [("m", 0, 3), ("m", 3, 6), ("m", 6, 7)] and drivers.ranges("m", 0, 3) == []
+    got = drivers.slabs(spark, parts, lambda n, a, b: drivers.matrix_cells(n, np.load(at)[a:b], a), "matrix string, row long, col long, value double")
+    assert values(got, "row", "col", "value") == {(i, j, data[i, j]) for i in range(7) for j in range(3)}
+
+
 def test_geojson(spark, tmp_path):
     feature = lambda kind, coords, **props: {"type": "Feature", "properties": props, "geometry": {"type": kind, "coordinates": coords}}
     doc = {"type": "FeatureCollection", "features": [feature("Point", [1.5, -2], a=1), feature("Polygon", [[[0, 0], [10, 0], [10, 5e0], [0, 0]]], b="x"), {"type": "Feature", "properties": None, "geometry": None}]}
