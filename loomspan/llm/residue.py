@@ -40,12 +40,14 @@ MAX_HAMMING = 44
 BROADCAST_ROWS = 500_000
 
 _NUMBER = re.compile(r"(?:(?<=\W)|^)(?=[a-f]*\d)[0-9a-f]{5,}(?=\W|$)|\d+")
+_DIGIT = re.compile(r"\d")
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("class", pa.binary()), ("n", pa.int32()), ("simhash", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
 
 def template(words: str) -> str:
     """Plain words with all numbers and hexadecimal ids alike; a text that is the same text over and over, once."""
-    return rules.once(" ".join([t if t.isalpha() else _NUMBER.sub("0", t) for t in words.split(" ")]))
+    found = _DIGIT.search
+    return rules.once(" ".join([_NUMBER.sub("0", t) if found(t) else t for t in words.split(" ")]) if found(words) else words)
 
 
 def _shingles(text: str) -> set[str]:
@@ -193,8 +195,9 @@ def _masks(tables: int, bits: int) -> list[list[int]]:
 
 def _in_tables(classes: DataFrame, prefix: str, masks: list[list[int]]) -> DataFrame:
     """One row per class and table. The bucket is a hash of the table and its bits; what it confuses the distance tells apart."""
-    keys = F.array(*(F.xxhash64(F.lit(t), F.col("simhash")[0].bitwiseAND(F.lit(x)), F.col("simhash")[1].bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(masks)))
-    return classes.select(F.posexplode(keys).alias(f"{prefix}_at", "bucket"), F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"), F.col("simhash").alias(f"{prefix}_hash"))
+    flat = classes.select(F.col("rep").alias(f"{prefix}_rep"), F.col("n").alias(f"{prefix}_n"), F.col("simhash")[0].alias(f"{prefix}_h0"), F.col("simhash")[1].alias(f"{prefix}_h1"))
+    keys = F.array(*(F.xxhash64(F.lit(t), F.col(f"{prefix}_h0").bitwiseAND(F.lit(x)), F.col(f"{prefix}_h1").bitwiseAND(F.lit(y))) for t, (x, y) in enumerate(masks)))
+    return flat.select(F.explode(keys).alias("bucket"), "*")
 
 
 def _in_prefixes(classes: DataFrame, prefix: str) -> DataFrame:
@@ -210,13 +213,10 @@ def _met(a: DataFrame, b: DataFrame, close: Column) -> DataFrame:
 
 
 def by_tables(frontier: DataFrame, others: DataFrame) -> DataFrame:
-    """The pairs that meet in a table and are near in all bits; a pair comes out of the first table that it meets in."""
+    """The pairs that meet in a table and are near in all bits, once for each table they meet in."""
     masks = _masks(*table_sizes(frontier.count())[::-1])
-    apart = [F.col("a_hash")[i].bitwiseXOR(F.col("b_hash")[i]) for i in (0, 1)]
-    close = F.bit_count(apart[0]) + F.bit_count(apart[1]) <= MAX_HAMMING
-    every = F.array(*(F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x, y in masks))
-    earlier = F.exists(F.slice(every, 1, F.col("a_at")), lambda m: (apart[0].bitwiseAND(m["x"]) == 0) & (apart[1].bitwiseAND(m["y"]) == 0))
-    return _met(_in_tables(frontier, "a", masks), _in_tables(others, "b", masks), (F.col("a_at") == F.col("b_at")) & close & ~earlier)
+    close = F.bit_count(F.col("a_h0").bitwiseXOR(F.col("b_h0"))) + F.bit_count(F.col("a_h1").bitwiseXOR(F.col("b_h1"))) <= MAX_HAMMING
+    return _met(_in_tables(frontier, "a", masks), _in_tables(others, "b", masks), close)
 
 
 def by_prefixes(frontier: DataFrame, others: DataFrame) -> DataFrame:

@@ -252,6 +252,9 @@ def _mock_latin(words: str) -> bool:
     A short text holds hardly any words but known ones. A longer one holds enough words of the passage, or small words of
     Latin and hardly any that don't end like Latin.
     """
+    # A text has at most one word for two characters, so enough frequent words tell without looking closer.
+    if sum(map(FREQUENT.__contains__, words.split(" "))) > 0.01 * (len(words) / 2 + 1):
+        return False
     tokens = [t for t in _WORD.findall(words) if not t.isdigit()]
     n = len(tokens)
     if n < 3 or sum(t in FREQUENT or not t.isascii() for t in tokens) > 0.01 * n:
