@@ -95,8 +95,9 @@ class StateStore:
         new = sorted(f for f in df.inputFiles() if plain_path(f) not in known)
         if new or not known:
             rows = spark.read.schema(df.schema).parquet(*new) if new else df
-            rows = rows.select("*", F.regexp_replace("_metadata.file_path", FILE_SCHEME, "/").alias("_file")) if new else rows.withColumn("_file", F.lit(""))
-            profile_states(rows, [*self.by, "_file"], self.checks).write.mode("append").option("compression", "zstd").parquet(self.path)
+            rows = rows.select("*", F.col("_metadata.file_path").alias("_file")) if new else rows.withColumn("_file", F.lit(""))
+            states = profile_states(rows, [*self.by, "_file"], self.checks).withColumn("_file", F.regexp_replace("_file", FILE_SCHEME, "/"))
+            states.write.mode("append").option("compression", "zstd").parquet(self.path)
         return new
 
     def read(self, spark) -> DataFrame:
