@@ -14,7 +14,7 @@ from loomspan.operators.runset import RunSet, diff_values
 from loomspan.operators.skew import heavy_keys, join_unique
 from loomspan.plans import admin
 from loomspan.queries.registry import CURRENT_ARTIFACTS, CURRENT_RUNS, LINKS, Registry, trim_sql, uuid_sql
-from loomspan.session import read_table
+from loomspan.session import read_table, stage
 
 query = Registry()
 
@@ -498,7 +498,7 @@ def input_merkle_hash(spark, folder):
     """One hash over all inputs of each run."""
     a = current_artifacts(spark, folder).withColumnRenamed("run_id", "producer")
     producers = current_runs(spark, folder).select(F.col("id").alias("producer"), F.col("signature").alias("producer_signature"))
-    inputs = links(spark, folder).where("direction = 'input'").withColumnRenamed("run_id", "consumer")
+    inputs = stage(links(spark, folder).where("direction = 'input'").withColumnRenamed("run_id", "consumer"), "inputs")
     # A few shared inputs are used by many runs: they are joined apart.
     shared = heavy_keys(inputs.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")), "artifact_id", "n")
     made = a.withColumnRenamed("id", "artifact_id").withColumn("known", F.lit(True))
