@@ -466,7 +466,7 @@ def lineage_depth(spark, folder):
   SELECT root, artifact_id, run_id FROM t""")
 def lineage_reach(spark, folder):
     """Everything that went into five artifacts, at any depth, each artifact once."""
-    known = current_artifacts(spark, folder)
+    known = stage(current_artifacts(spark, folder).select("id", "run_id", "created_at"), "known")
     start = known.where("run_id IS NOT NULL").orderBy(*recency.by_creation()).limit(5).select(F.col("id").alias("artifact_id"))
     return lineage.lineage_nodes(known, links(spark, folder), start).select("root", "artifact_id", "run_id")
 

@@ -151,6 +151,52 @@ def test_lineage(spark, graph):
     assert {r.run_id for r in lineage.connected_runs(links, "r1").collect()} == {"r2", "r3"}
 
 
+def reached(made, inputs, root):
+    """{artifact: least depth}, by plain Python."""
+    depth, level = {root: 0}, [root]
+    while level:
+        onward = []
+        for a in level:
+            for b in inputs.get(made.get(a), ()) if made.get(a) is not None else ():
+                if b not in depth:
+                    depth[b] = depth[a] + 1
+                    onward.append(b)
+        level = onward
+    return depth
+
+
+def test_lineage_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    made = {f"a{i}": f"r{i}" for i in range(3000)}
+    arts = spark.createDataFrame([(a, r, T0 + timedelta(hours=int(a[1:]))) for a, r in made.items()], "id string, run_id string, created_at timestamp")
+    links = spark.createDataFrame([(f"r{i}", a, "input") for i in range(3000) for a in (f"a{i - 1}", "shared")], "run_id string, artifact_id string, direction string")
+    staged, write = [], lineage.stage
+    monkeypatch.setattr(lineage, "stage", lambda df, name: staged.append(name) or write(df, name) if len(staged) < 40 else pytest.fail("a job for each level"))
+    start = spark.createDataFrame([("a2999",), ("a5",)], "artifact_id string")
+    rows = {(r.root, r.artifact_id): r for r in lineage.lineage_nodes(arts, links, start).collect()}
+    assert len(rows) == 3000 + 2 + 6 + 2
+    assert (rows["a2999", "a0"].depth, rows["a2999", "a-1"].depth, rows["a2999", "shared"].depth, rows["a5", "a0"].depth) == (2999, 3000, 1, 5)
+    assert (rows["a2999", "a7"].run_id, rows["a2999", "a-1"].run_id) == ("r7", None)
+    assert {(r.root, r.artifact_id): r.depth for r in lineage.lineage_nodes(arts, links, start, bucket_rows=2000).collect()} == {k: r.depth for k, r in rows.items()}
+
+
+@pytest.mark.parametrize("bucket_rows", [40, 400, lineage.BUCKET_ROWS])
+def test_lineage_nodes_in_any_buckets(spark, bucket_rows):
+    import random
+
+    rng = random.Random(7)
+    # Cycles, links back in time, runs of many inputs and outputs, inputs without a row, a null input, artifacts without run or time.
+    made = {f"a{i}": rng.choice([None, *(f"r{min(99, max(0, i // 3 + d))}" for d in (0, 0, 0, 0, 0, 0, 0, 1, -7))]) for i in range(300)}
+    inputs = {f"r{i}": {f"a{max(0, i * 3 - rng.randrange(-3, 25))}" for _ in range(rng.randrange(1, 5))} | set(rng.sample(["gone", "a2", "a299", None], rng.choice([0, 0, 1]))) for i in range(100)}
+    inputs["r60"] |= {f"a{i}" for i in range(0, 180, 2)}
+    arts = spark.createDataFrame([(a, r, T0 + timedelta(hours=int(a[1:])) if rng.random() < 0.9 else None) for a, r in made.items()], "id string, run_id string, created_at timestamp")
+    links = spark.createDataFrame([(r, a, "input") for r, found in inputs.items() for a in found] + [(None, "a1", "input"), ("r1", "a290", "output")], "run_id string, artifact_id string, direction string")
+    roots = ["a219", "a236", "a293", "a284", "a0"]
+    got = [(r.root, r.artifact_id, r.run_id, r.depth) for r in lineage.lineage_nodes(arts, links, spark.createDataFrame([(r,) for r in [*roots, "gone"]], "artifact_id string"), bucket_rows=bucket_rows).collect()]
+    expected = [(root, a, made.get(a), d) for root in roots for a, d in reached(made, inputs, root).items()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert len(expected) > 300
+
+
 def test_descendants_of_runs(spark):
     r = make_runs(spark, [{"id": "a"}, {"id": "b", "parent_run_id": "a"}, {"id": "c", "parent_run_id": "b"}, {"id": "x", "parent_run_id": "y"}, {"id": "y", "parent_run_id": "x"}])
     seeds = spark.createDataFrame([("a",), ("x",)], "id string")
